@@ -1,0 +1,6 @@
+"""All registered queries; importing the package fills the registry."""
+
+from . import groups, profiles, series, sources  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
