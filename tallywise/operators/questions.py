@@ -8,6 +8,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import questions as Q
 from ..functions import vocabulary as V
@@ -20,7 +21,7 @@ ROLES = ("measure", "dimension", "date_col")
 CARRY_TURNS = 4096
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Matching-blocks ratio of two words."""
     return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
