@@ -170,10 +170,17 @@ OP_SQL = "SELECT event_id, q, op, base AS ascending, conf AS op_confidence FROM
 
 
 def _op(spark, sf, substring):
+    rule = F.col("rule")
     return (
         _asked(spark, sf)
-        .withColumn("c", Q.op_class(Q.normalise(F.col("q")), substring))
-        .select("event_id", "q", "c.op", "c.ascending", F.col("c.confidence").alias("op_confidence"))
+        .withColumn("rule", Q.op_rule(Q.normalise(F.col("q")), substring))
+        .select(
+            "event_id",
+            "q",
+            Q.op_of(rule).alias("op"),
+            Q.ascending_of(rule).alias("ascending"),
+            Q.confidence_of(rule).alias("op_confidence"),
+        )
     )
 
 
@@ -469,5 +476,5 @@ def q_followup_turns(spark, sf):
     turns = load(spark, sf, "conversations")
     asked = F.when(F.col("role") == "user", F.col("turn"))
     return ops.carry_last(
-        turns, "conv_id", "turn", {"last_user_turn": asked}, inclusive=False, span=2
+        turns, "conv_id", "turn", before={"last_user_turn": asked}, span=2
     ).select("conv_id", "turn", "last_user_turn")

@@ -42,6 +42,15 @@ def name_of(column: str) -> Column:
     return F.col("`" + column.replace("`", "``") + "`")
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and hand it to ``body``.
+
+    A column used twice in an expression is computed twice; an array of one
+    element binds it.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def text_to_number(value: Column) -> Column:
     """Text to double; anything that is not a number becomes null."""
     # The cast would take Java's "1d" and "2.5f" for numbers.

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
+from .coerce import let
 
 
 def normalise(question: Column) -> Column:
@@ -17,8 +18,13 @@ def normalise(question: Column) -> Column:
 
 def tokens(question: Column) -> Column:
     """Words of the normalised question without stop words; repeats stay."""
+    return tokens_in(normalise(question))
+
+
+def tokens_in(text: Column) -> Column:
+    """The same from the normalised question."""
     stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
-    words = F.split(normalise(question), " +")
+    words = F.split(text, " +")
     return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
 
 
@@ -43,6 +49,9 @@ def words_pattern(words: tuple[str, ...], substring: bool = False) -> str:
     return choice if substring else rf"\b(?:{choice})s?\b"
 
 
+ANY_ORDINAL = rf"\b(?:\d+(?:st|nd|rd|th)|{'|'.join(V.ORDINAL_WORDS)})\b"
+
+
 def ordinal(text: Column) -> Column:
     """Position asked for in a normalised question, such as ``5th`` or ``third``; else null."""
     digits = F.regexp_extract(text, r"\b(\d+)(?:st|nd|rd|th)\b", 1)
@@ -52,38 +61,67 @@ def ordinal(text: Column) -> Column:
     return found
 
 
-def op_class(text: Column, substring: bool = False) -> Column:
-    """Operation a normalised question asks for: struct(op, ascending, confidence).
+# Rule number -> (operation, ascending, confidence), in the order
+# the rules are tried.
+OP_RULES = (
+    ("overview", False, 0.9),
+    ("insights", False, 0.9),
+    ("explain", False, 0.9),
+    ("top", False, 0.9),
+    ("top", True, 0.9),
+    ("forecast", False, 0.85),
+    ("anomaly", False, 0.85),
+    ("correlation", False, 0.85),
+    ("top", True, 0.85),
+    ("top", False, 0.85),
+    ("trend", False, 0.85),
+    ("nth", False, 0.8),
+    ("summary", False, 0.4),
+)
 
-    The first rule that fits decides.  ``substring`` finds the words inside
-    longer words too.
-    """
 
-    def answer(op: str, confidence: float, ascending: bool = False) -> Column:
-        return F.struct(
-            F.lit(op).alias("op"),
-            F.lit(ascending).alias("ascending"),
-            F.lit(confidence).alias("confidence"),
+def op_rule(text: Column, substring: bool = False) -> Column:
+    """Number of the first rule a normalised question meets (see ``OP_RULES``).
+
+    ``substring`` finds the words inside longer words too.
+    """
+    phrases = [
+        any_of(p)
+        for p in (
+            V.OVERVIEW_PHRASES,
+            V.INSIGHT_PHRASES,
+            V.EXPLAIN_PHRASES,
+            V.BEST_PHRASES,
+            V.WORST_PHRASES,
         )
+    ]
+    words = [
+        words_pattern(w, substring)
+        for w in (
+            V.FORECAST_WORDS,
+            V.ANOMALY_WORDS,
+            V.CORRELATION_WORDS,
+            V.BOTTOM_WORDS,
+            V.TOP_WORDS,
+            V.TREND_WORDS,
+        )
+    ]
+    rule = F.when(text.rlike(phrases[0]), 0)
+    for place, pattern in enumerate(phrases[1:] + words, start=1):
+        rule = rule.when(text.rlike(pattern), place)
+    return rule.when(text.rlike(ANY_ORDINAL), len(OP_RULES) - 2).otherwise(len(OP_RULES) - 1)
 
-    def said(words: tuple[str, ...]) -> Column:
-        return text.rlike(words_pattern(words, substring))
 
-    return (
-        F.when(text.rlike(any_of(V.OVERVIEW_PHRASES)), answer("overview", 0.9))
-        .when(text.rlike(any_of(V.INSIGHT_PHRASES)), answer("insights", 0.9))
-        .when(text.rlike(any_of(V.EXPLAIN_PHRASES)), answer("explain", 0.9))
-        .when(text.rlike(any_of(V.BEST_PHRASES)), answer("top", 0.9))
-        .when(text.rlike(any_of(V.WORST_PHRASES)), answer("top", 0.9, ascending=True))
-        .when(said(V.FORECAST_WORDS), answer("forecast", 0.85))
-        .when(said(V.ANOMALY_WORDS), answer("anomaly", 0.85))
-        .when(said(V.CORRELATION_WORDS), answer("correlation", 0.85))
-        .when(said(V.BOTTOM_WORDS), answer("top", 0.85, ascending=True))
-        .when(said(V.TOP_WORDS), answer("top", 0.85))
-        .when(said(V.TREND_WORDS), answer("trend", 0.85))
-        .when(ordinal(text).isNotNull(), answer("nth", 0.8))
-        .otherwise(answer("summary", 0.4))
-    )
+def op_of(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(op) for op, _, _ in OP_RULES]), rule)
+
+
+def ascending_of(rule: Column) -> Column:
+    return rule.isin(*[i for i, (_, up, _) in enumerate(OP_RULES) if up])
+
+
+def confidence_of(rule: Column) -> Column:
+    return F.get(F.array(*[F.lit(c) for _, _, c in OP_RULES]), rule)
 
 
 def direction(text: Column, ascending: Column, substring: bool = False) -> Column:
@@ -103,10 +141,12 @@ def names_direction(text: Column, substring: bool = False) -> Column:
 
 
 def _number(text: Column) -> Column:
-    value = text.try_cast("bigint")
-    for word, amount in V.NUMBER_WORDS.items():
-        value = F.when(text == word, F.lit(amount).cast("bigint")).otherwise(value)
-    return value
+    """Digits or a number word as a number, else null."""
+    words = F.create_map(*[F.lit(x) for pair in V.NUMBER_WORDS.items() for x in pair])
+    return let(
+        text,
+        lambda t: F.coalesce(t.try_cast("bigint"), F.try_element_at(words, t).cast("bigint")),
+    )
 
 
 def top_count(text: Column) -> Column:
@@ -122,35 +162,44 @@ def horizon(text: Column) -> Column:
     lead = r"(?:next|forecast|predict|for)\s+"
     digits = lead + r"(\d+)\s+(month|year|quarter|week|day)"
     words = lead + r"([a-z]+)\s+(month|year|quarter)"
-    count = F.regexp_extract(text, digits, 1).try_cast("bigint")
-    unit = F.regexp_extract(text, digits, 2)
-    in_months = (
-        F.when(unit == "year", count * 12)
-        .when(unit == "quarter", count * 3)
-        .when(unit == "week", F.greatest(F.lit(1), F.floor(count / 4)))
-        .when(unit == "day", F.greatest(F.lit(1), F.floor(count / 30)))
-        .when(unit == "month", count)
-    )
-    word_count = _number(F.regexp_extract(text, words, 1))
-    word_unit = F.regexp_extract(text, words, 2)
-    word_months = (
-        F.when(word_unit == "year", word_count * 12)
-        .when(word_unit == "quarter", word_count * 3)
-        .when(word_unit == "month", word_count)
+
+    def amount(pattern: str) -> Column:
+        return F.struct(
+            _number(F.regexp_extract(text, pattern, 1)).alias("count"),
+            F.regexp_extract(text, pattern, 2).alias("unit"),
+        )
+
+    def months(found: Column) -> Column:
+        count, unit = found["count"], found["unit"]
+        return (
+            F.when(unit == "year", count * 12)
+            .when(unit == "quarter", count * 3)
+            .when(unit == "week", F.greatest(F.lit(1), F.floor(count / 4)))
+            .when(unit == "day", F.greatest(F.lit(1), F.floor(count / 30)))
+            .when(unit == "month", count)
+        )
+
+    return F.coalesce(
+        let(amount(digits), months),
+        let(amount(words), months),
+        F.lit(V.DEFAULT_HORIZON).cast("bigint"),
     )
-    return F.coalesce(in_months, word_months, F.lit(V.DEFAULT_HORIZON).cast("bigint"))
 
 
 def greeting(question: Column) -> Column:
     """Confidence that a question is a greeting: 0.99, 0.95 or null."""
-    text = normalise(question)
+    return greeting_in(normalise(question), tokens(question))
+
+
+def greeting_in(text: Column, words: Column) -> Column:
+    """The same from the normalised question and its tokens."""
     phrases = sorted({" ".join(_plain(g).split()) for g in V.GREETINGS})
-    single = [g for g in phrases if " " not in g]
-    words = tokens(question)
-    squeezed = F.regexp_replace(text, " +", " ")
-    return F.when(squeezed.isin(*phrases), F.lit(0.99)).when(
-        (F.size(words) <= 3) & F.arrays_overlap(words, F.array(*[F.lit(g) for g in single])),
-        F.lit(0.95),
+    single = F.array(*[F.lit(g) for g in phrases if " " not in g])
+    return F.when(F.regexp_replace(text, " +", " ").isin(*phrases), F.lit(0.99)).otherwise(
+        let(
+            words,
+            lambda w: F.when((F.size(w) <= 3) & F.arrays_overlap(w, single), F.lit(0.95)),
+        )
     )
 
 
@@ -206,12 +255,14 @@ def literals(question: Column) -> Column:
         lambda s: F.regexp_replace(s, '^"|"$', ""),
     )
     stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
-    left_out = F.lower(F.coalesce(excluded(question), F.lit("")))
-    return F.filter(
-        found,
-        lambda s: (F.length(s) > 1)
-        & ~F.array_contains(stop, F.lower(s))
-        & (F.lower(s) != left_out),
+    return let(
+        F.lower(F.coalesce(excluded(question), F.lit(""))),
+        lambda out: F.filter(
+            found,
+            lambda s: (F.length(s) > 1)
+            & ~F.array_contains(stop, F.lower(s))
+            & (F.lower(s) != out),
+        ),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -66,21 +68,19 @@ def distinct_counts(
     """Distinct non-null values per column: (ordinal, column, distinct_count)."""
     columns = columns or df.columns
     count = F.approx_count_distinct if approximate else F.count_distinct
-    counted = df.agg(*[count(name_of(c)).alias(f"d{i}") for i, c in enumerate(columns)])
-    return counted.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("ordinal"),
-                        F.lit(c).alias("column"),
-                        F.col(f"d{i}").alias("distinct_count"),
-                    )
-                    for i, c in enumerate(columns)
-                ]
-            )
-        )
-    )
+    fields = [
+        F.struct(
+            F.lit(i).alias("ordinal"),
+            F.lit(c).alias("column"),
+            count(name_of(c)).alias("distinct_count"),
+        ).alias(f"c{i}")
+        for i, c in enumerate(columns)
+    ]
+    if approximate:
+        wide = df.agg(*fields)
+        return wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))])))
+    # Each column on its own: one pass over all would copy every row per column.
+    return reduce(DataFrame.union, [df.agg(f.alias("c")).select("c.*") for f in fields])
 
 
 def drill_time(df: DataFrame, date_col: str, measure: str) -> DataFrame:

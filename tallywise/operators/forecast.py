@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.calendar import add_periods, period, step
-from ..functions.coerce import moment, name_of, number
+from ..functions.coerce import let, moment, name_of, number
 from .series import resample_sum
 
 # Smoothing grids and the shortest series that is forecast.
@@ -94,11 +94,6 @@ def backtest_split(series: DataFrame, keys: list[str] = ()) -> DataFrame:
 # --- the models: array of totals -> fitted state ----------------------------
 
 
-def _let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and hand it to ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def _state(sse, a, b, g, level, trend, season=None) -> Column:
     none = F.array().cast("array<double>")
     return F.struct(
@@ -155,7 +150,7 @@ def fit_ses(ys: Column) -> Column:
         )
 
     inputs = F.struct(F.get(ys, F.lit(0)).alias("start"), _rest(ys, 1).alias("rest"))
-    return _let(
+    return let(
         inputs,
         lambda i: F.array_min(
             F.transform(_grid(a=SES_GRID), lambda p: run(p, i["start"], i["rest"]))
@@ -189,7 +184,7 @@ def fit_holt(ys: Column) -> Column:
     inputs = F.struct(
         second.alias("l"), (second - F.get(ys, F.lit(0))).alias("t"), _rest(ys, 2).alias("rest")
     )
-    return _let(
+    return let(
         inputs,
         lambda i: F.array_min(
             F.transform(_grid(a=HOLT_GRID, b=HOLT_GRID), lambda p: run(p, i))
@@ -245,8 +240,8 @@ def fit_holt_winters(ys: Column, season: int = V.SEASON) -> Column:
         _mean(F.slice(ys, season + 1, season)).alias("second"),
     )
     grid = _grid(a=SEASONAL_GRID, b=SEASONAL_GRID, g=SEASONAL_GRID)
-    return _let(
-        _let(means, inputs),
+    return let(
+        let(means, inputs),
         lambda i: F.array_min(F.transform(grid, lambda p: run(p, i))),
     )
 
@@ -259,7 +254,7 @@ def _project(state: Column, steps: Column) -> Column:
         turn = F.get(s["season"], F.pmod(h - 1, F.greatest(width, F.lit(1))))
         return s["level"] + h * s["trend"] + F.when(width > 0, turn).otherwise(0.0)
 
-    return _let(state, lambda s: F.transform(F.sequence(F.lit(1), steps), lambda h: at(s, h)))
+    return let(state, lambda s: F.transform(F.sequence(F.lit(1), steps), lambda h: at(s, h)))
 
 
 def _naive(ys: Column, season: Column, steps: Column) -> Column:
@@ -345,7 +340,7 @@ def _candidates(series: DataFrame, keys: list[str], periods: int, models) -> Dat
 
 def _sample_variance(values: Column) -> Column:
     """Sample variance of an array, null with fewer than two values."""
-    squares = _let(
+    squares = let(
         _mean(values),
         lambda m: F.aggregate(values, F.lit(0.0), lambda s, y: s + (y - m) * (y - m)),
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,39 +43,38 @@ def column_counts(
 ) -> DataFrame:
     """Row per column: ordinal, column, dtype, family, row_count, non_null, unique_count, valid_dates.
 
-    One aggregation over the table.  ``valid_dates`` is counted only for text
-    columns whose name speaks of a date.
+    ``valid_dates`` is counted only for text columns whose name speaks of a
+    date.  Exact counts take one aggregation per column, each reading only its
+    own column: counting all distinct values in one pass would copy every row
+    once per column.  ``approximate`` uses sketches in a single pass.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    aggregates = [F.count(F.lit(1)).alias("row_count")]
+    fields = []
     for i, field in enumerate(df.schema.fields):
         value = _countable(df, field.name)
-        aggregates.append(F.count(value).alias(f"n{i}"))
-        aggregates.append(distinct(value).alias(f"d{i}"))
         named_date = is_text(field.dataType) and any(
             w in field.name.lower() for w in V.DATE_NAME.split("|")
         )
-        dates = F.count(text_to_timestamp(value)) if named_date else F.lit(None).cast("bigint")
-        aggregates.append(dates.alias(f"t{i}"))
-    return df.agg(*aggregates).select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("ordinal"),
-                        F.lit(field.name).alias("column"),
-                        F.lit(field.dataType.simpleString()).alias("dtype"),
-                        F.lit(_family(field.dataType)).alias("family"),
-                        F.lit(field.name in engineered).alias("engineered"),
-                        F.col("row_count").alias("row_count"),
-                        F.col(f"n{i}").alias("non_null"),
-                        F.col(f"d{i}").alias("unique_count"),
-                        F.col(f"t{i}").alias("valid_dates"),
-                    )
-                    for i, field in enumerate(df.schema.fields)
-                ]
-            )
+        distinct = F.approx_count_distinct if approximate else F.count_distinct
+        fields.append(
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(field.name).alias("column"),
+                F.lit(field.dataType.simpleString()).alias("dtype"),
+                F.lit(_family(field.dataType)).alias("family"),
+                F.lit(field.name in engineered).alias("engineered"),
+                F.count(F.lit(1)).alias("row_count"),
+                F.count(value).alias("non_null"),
+                distinct(value).alias("unique_count"),
+                (F.count(text_to_timestamp(value)) if named_date else F.lit(None).cast("bigint")).alias(
+                    "valid_dates"
+                ),
+            ).alias(f"c{i}")
         )
+    if approximate:
+        wide = df.agg(*fields)
+        return wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))])))
+    return reduce(
+        DataFrame.union, [df.agg(f.alias("c")).select("c.*") for f in fields]
     )
 
 

@@ -3,7 +3,8 @@
 The built-in exact percentile keeps every distinct value of a group in the
 memory of one task.  Here a sketch brackets each requested rank, a second
 sketch narrows the bracket, and only the values left between the two bounds
-are counted and ordered.  Three scans, small shuffles, exact result.
+are counted and ordered.  Three scans, small shuffles, exact result.  Inputs
+counted as small are ordered directly.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ ORDERED_ROWS = 20_000
 ACCURACY = 10_000
 # Cut points laid through a bracket by the second sketch.
 CUTS = 500
-# Input rows up to which the built-in one-pass percentile is used instead.
-ONE_PASS_ROWS = 2_000_000
+# Rows up to which the values of one key may simply be ordered in one task.
+ONE_PASS_ROWS = 5_000_000
 
 
 def exact_quantiles(
@@ -42,13 +43,44 @@ def exact_quantiles(
         raise ValueError("at least one key column is needed")
     rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
     if rows.count() <= one_pass_rows:
-        return rows.groupBy(*keys).agg(
-            F.count("_v").alias("n"),
-            F.percentile("_v", F.array(*[F.lit(p) for p in probs])).alias("quantiles"),
-        )
+        return _ranked(rows, keys, probs)
     return _bracketed(rows, keys, probs, F.broadcast if bounded_keys else small_side)
 
 
+def _ranked(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
+    """Count equal values, order them per key and pick the ranks."""
+    valid = F.when(F.col("_v").isNotNull(), F.col("_rows")).otherwise(0)
+    ordered = Window.partitionBy(*keys).orderBy(F.col("_v").asc_nulls_last())
+    counted = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_rows"))
+    placed = counted.select(
+        *keys,
+        "_v",
+        valid.alias("_rows"),
+        F.sum(valid).over(ordered.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
+        F.sum(valid).over(Window.partitionBy(*keys)).alias("n"),
+    )
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when(_holds(rank), F.col("_v")))
+
+    picks = []
+    for i, p in enumerate(probs):
+        position = F.lit(p) * (F.col("n") - 1)
+        picks += [at(F.floor(position)).alias(f"_a{i}"), at(F.ceil(position)).alias(f"_b{i}")]
+    found = placed.groupBy(*keys).agg(F.max("n").alias("n"), *picks)
+    values = []
+    for i, p in enumerate(probs):
+        position = F.lit(p) * (F.col("n") - 1)
+        part = position - F.floor(position)
+        values.append(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * part)
+    return found.select(*keys, "n", F.when(F.col("n") > 0, F.array(*values)).alias("quantiles"))
+
+
+def _holds(rank: Column) -> Column:
+    """Whether a counted value covers a 0-based rank."""
+    return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank)
+
+
 def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], side) -> DataFrame:
     slots = range(len(probs))
     margin = 2.0 / ACCURACY
@@ -105,12 +137,8 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], side) -> Da
     ranked = counted.withColumn(
         "_upto", F.sum("_rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
     )
-
-    def holds(rank: Column) -> Column:
-        return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank)
-
-    at_first = F.max(F.when(holds(F.col("t.first")), F.col("_v")))
-    at_last = F.max(F.when(holds(F.col("t.last")), F.col("_v")))
+    at_first = F.max(F.when(_holds(F.col("t.first")), F.col("_v")))
+    at_last = F.max(F.when(_holds(F.col("t.last")), F.col("_v")))
     picked = (
         ranked.groupBy(*keys, "n", "t")
         .agg(at_first.alias("a"), at_last.alias("b"))

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of
+from ..session import spread
 from .filters import literal_lookup
 from .profile import Roles
 
@@ -82,21 +83,15 @@ def token_scores(words: DataFrame, roles: Roles, similarity: str = "edit") -> Da
     return scored.groupBy("token", "role", "place", "column").agg(F.max("score").alias("score"))
 
 
-def match_columns(
-    questions: DataFrame, id_col: str, text_col: str, roles: Roles, similarity: str = "edit"
+def _matched(
+    questions: DataFrame, id_col: str, text_col: str, roles: Roles, similarity: str
 ) -> DataFrame:
-    """Best column per role and question: id plus <role> and <role>_score.
+    """(_id, <role> struct(score, n, column)...) for the questions that name a column.
 
     Words are scored once, however many questions use them.  Only words that
     reach the acceptance limit for some column go back to the questions, at
     most one row per question and word.
     """
-    if not (roles.measures or roles.dimensions or roles.dates):
-        return questions.select(
-            name_of(id_col).alias(id_col),
-            *[F.lit(None).cast("string").alias(r) for r in ROLES],
-            *[F.lit(0.0).alias(f"{r}_score") for r in ROLES],
-        )
     used = questions.select(
         name_of(id_col).alias("_id"),
         F.explode(F.array_distinct(Q.tokens(name_of(text_col)))).alias("token"),
@@ -104,51 +99,69 @@ def match_columns(
     scores = token_scores(used.select("token").distinct(), roles, similarity)
 
     def best(role: str) -> Column:
-        return F.max(
-            F.when(F.col("role") == role, F.struct("score", (-F.col("place")).alias("n"), "column"))
-        )
+        rank = F.struct("score", (-F.col("place")).alias("n"), "column")
+        return F.max(F.when(F.col("role") == role, rank))
 
     per_token = (
         scores.where(F.col("score") >= V.COLUMN_MATCH_MIN)
         .groupBy("token")
-        .agg(*[best(r).alias(r) for r in ROLES])
+        .agg(*[best(r).alias(f"_{r}") for r in ROLES])
     )
-    found = (
+    return (
         used.join(per_token, "token")
         .groupBy("_id")
-        .agg(*[F.max(r).alias(r) for r in ROLES])
+        .agg(*[F.max(f"_{r}").alias(f"_{r}") for r in ROLES])
     )
-    return (
-        questions.select(name_of(id_col).alias("_id"))
-        .join(found, "_id", "left")
-        .select(
-            F.col("_id").alias(id_col),
-            *[F.col(f"{r}.column").alias(r) for r in ROLES],
-            *[F.coalesce(F.col(f"{r}.score"), F.lit(0.0)).alias(f"{r}_score") for r in ROLES],
+
+
+def _with_columns(
+    questions: DataFrame, source: DataFrame, id_col: str, text_col: str, roles: Roles, similarity: str
+) -> DataFrame:
+    """``questions`` with the best column and score per role, matched on the texts of ``source``."""
+    if roles.measures or roles.dimensions or roles.dates:
+        found = _matched(source, id_col, text_col, roles, similarity)
+        joined = questions.join(found, name_of(id_col) == F.col("_id"), "left")
+        return joined.select(
+            *[name_of(c) for c in questions.columns],
+            *[F.col(f"_{r}.column").alias(r) for r in ROLES],
+            *[F.coalesce(F.col(f"_{r}.score"), F.lit(0.0)).alias(f"{r}_score") for r in ROLES],
         )
+    return questions.select(
+        "*",
+        *[F.lit(None).cast("string").alias(r) for r in ROLES],
+        *[F.lit(0.0).alias(f"{r}_score") for r in ROLES],
     )
 
 
+def match_columns(
+    questions: DataFrame, id_col: str, text_col: str, roles: Roles, similarity: str = "edit"
+) -> DataFrame:
+    """Best column per role and question: id plus <role> and <role>_score."""
+    ids = questions.select(name_of(id_col))
+    return _with_columns(ids, questions, id_col, text_col, roles, similarity)
+
+
 def classify(questions: DataFrame, text_col: str, substring: bool = False) -> DataFrame:
     """Add op, ascending, n, periods, nth_index, greeting and flags; no shuffle."""
-    question = name_of(text_col)
-    text = F.col("_text")
-    is_op = {op: F.col("_class.op") == op for op in ("top", "forecast", "nth")}
+    question, text, rule = name_of(text_col), F.col("_text"), F.col("_rule")
+    op = F.col("op")
     return (
         questions.withColumn("_text", Q.normalise(question))
-        .withColumn("_class", Q.op_class(text, substring))
-        .withColumn("_greeting", Q.greeting(question))
-        .withColumn("is_refinement", Q.is_refinement(question))
-        .withColumn("is_reset", Q.is_reset(question))
-        .withColumn("names_direction", Q.names_direction(text, substring))
-        .withColumn("ascending", Q.direction(text, F.col("_class.ascending"), substring))
-        .withColumn("n", F.when(is_op["top"], Q.top_count(text)))
-        .withColumn("periods", F.when(is_op["forecast"], Q.horizon(text)))
-        .withColumn("nth_index", F.when(is_op["nth"], Q.ordinal(text)))
-        .withColumn("op", F.col("_class.op"))
-        .withColumn("op_confidence", F.col("_class.confidence"))
-        .drop("_text", "_class")
-        .withColumnRenamed("_greeting", "greeting_confidence")
+        .withColumns({"_rule": Q.op_rule(text, substring), "_words": Q.tokens_in(text)})
+        .withColumns({"op": Q.op_of(rule), "op_confidence": Q.confidence_of(rule)})
+        .withColumns(
+            {
+                "n": F.when(op == "top", Q.top_count(text)),
+                "periods": F.when(op == "forecast", Q.horizon(text)),
+                "nth_index": F.when(op == "nth", Q.ordinal(text)),
+                "ascending": Q.direction(text, Q.ascending_of(rule), substring),
+                "names_direction": Q.names_direction(text, substring),
+                "greeting_confidence": Q.greeting_in(text, F.col("_words")),
+                "is_refinement": Q.is_refinement(question),
+                "is_reset": Q.is_reset(question),
+            }
+        )
+        .drop("_text", "_rule", "_words")
     )
 
 
@@ -180,7 +193,8 @@ def tag_questions(
     similarity: str = "edit",
 ) -> DataFrame:
     """The intent of every question: op, columns, numbers, direction, confidence."""
-    columns = match_columns(questions, id_col, text_col, roles, similarity)
+    questions = spread(questions)
+    classified = classify(questions, text_col, substring)
     op, confidence = combined_confidence(bool(roles.measures))
     hello = F.col("op") == "greeting"
 
@@ -188,8 +202,7 @@ def tag_questions(
         return F.when(~hello, F.col(column)).alias(column)
 
     return (
-        classify(questions, text_col, substring)
-        .join(columns, id_col)
+        _with_columns(classified, questions, id_col, text_col, roles, similarity)
         .withColumn("confidence", confidence)
         .withColumn("op", op)
         .select(
@@ -212,24 +225,33 @@ def carry_last(
     df: DataFrame,
     session: str,
     turn: str,
-    values: dict[str, Column],
-    inclusive: bool,
+    upto: dict[str, Column] | None = None,
+    before: dict[str, Column] | None = None,
     span: int = CARRY_TURNS,
 ) -> DataFrame:
     """Add, per name, the latest non-null value seen so far in the session.
 
-    ``inclusive`` counts the row itself.  Sessions are cut into blocks of
-    ``span`` turns; a window runs inside a block, and only the last values of
-    each block travel on, so one endless session does not end in one task.
+    ``upto`` counts the row itself, ``before`` only earlier rows.  Sessions are
+    cut into blocks of ``span`` turns; a window runs inside a block, and only
+    the last values of each block travel on, so one endless session does not
+    end in one task.
     """
-    block = F.floor(name_of(turn) / span)
-    marked = df.withColumn("_block", block).withColumns(
-        {f"_v_{n}": v for n, v in values.items()}
+    upto, before = upto or {}, before or {}
+    values = {**upto, **before}
+    # Window and block ends read the same exchange.
+    marked = (
+        df.withColumn("_block", F.floor(name_of(turn) / span))
+        .withColumns({f"_v_{n}": v for n, v in values.items()})
+        .repartition(session, "_block")
     )
     inside = Window.partitionBy(session, "_block").orderBy(turn)
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     seen = marked.withColumns(
-        {f"_in_{n}": F.last(f"_v_{n}", ignorenulls=True).over(frame) for n in values}
+        {
+            f"_in_{n}": F.last(f"_v_{n}", ignorenulls=True).over(
+                inside.rowsBetween(Window.unboundedPreceding, 0 if n in upto else -1)
+            )
+            for n in values
+        }
     )
     ends = marked.groupBy(session, "_block").agg(
         *[
@@ -240,14 +262,14 @@ def carry_last(
     earlier = Window.partitionBy(session).orderBy("_block").rowsBetween(
         Window.unboundedPreceding, -1
     )
-    before = ends.select(
+    handed = ends.select(
         session,
         "_block",
         *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values],
     )
     # Sessions that fit one block have nothing to join.
     held = reduce(lambda a, b: a | b, [F.col(f"_b_{n}").isNotNull() for n in values])
-    joined = seen.join(before.where(held), [session, "_block"], "left")
+    joined = seen.join(handed.where(held), [session, "_block"], "left")
     return joined.select(
         *[name_of(c) for c in df.columns],
         *[F.coalesce(f"_in_{n}", f"_b_{n}").alias(n) for n in values],
@@ -266,10 +288,11 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
     remembered = ~F.col("op").isin("greeting", "unknown")
     when = name_of(turn)
     history = carry_last(
-        intents, session, turn, {"_reset_at": F.when(F.col("is_reset"), when)}, inclusive=True
-    )
-    history = carry_last(
-        history, session, turn, {"_set_at": F.when(remembered, when)}, inclusive=False
+        intents,
+        session,
+        turn,
+        upto={"_reset_at": F.when(F.col("is_reset"), when)},
+        before={"_set_at": F.when(remembered, when)},
     )
     known = F.col("_set_at").isNotNull() & (
         F.col("_reset_at").isNull() | (F.col("_set_at") >= F.col("_reset_at"))
@@ -290,7 +313,7 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
         starts | (F.col("follow_up") & F.col("names_direction")),
         F.struct(when.alias("at"), F.col("ascending").alias("v")),
     )
-    full = carry_last(marked, session, turn, values, inclusive=True)
+    full = carry_last(marked, session, turn, upto=values)
 
     def taken(name: str) -> Column:
         kept = F.col(f"_c_{name}")
