@@ -51,6 +51,11 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def word_list(words: Iterable[str]) -> Column:
+    """A constant array of texts, made by one expression."""
+    return F.split(F.lit("|".join(words)), r"\|")
+
+
 def text_to_number(value: Column) -> Column:
     """Text to double; anything that is not a number becomes null."""
     # The cast would take Java's "1d" and "2.5f" for numbers.

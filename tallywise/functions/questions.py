@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .coerce import let
+from .coerce import let, word_list
 
 
 def normalise(question: Column) -> Column:
@@ -23,7 +23,7 @@ def tokens(question: Column) -> Column:
 
 def tokens_in(text: Column) -> Column:
     """The same from the normalised question."""
-    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
+    stop = word_list(V.STOP_WORDS)
     words = F.split(text, " +")
     return F.filter(words, lambda w: (w != "") & ~F.array_contains(stop, w))
 
@@ -113,7 +113,7 @@ def op_rule(text: Column, substring: bool = False) -> Column:
 
 
 def op_of(rule: Column) -> Column:
-    return F.get(F.array(*[F.lit(op) for op, _, _ in OP_RULES]), rule)
+    return F.get(word_list(op for op, _, _ in OP_RULES), rule)
 
 
 def ascending_of(rule: Column) -> Column:
@@ -121,7 +121,7 @@ def ascending_of(rule: Column) -> Column:
 
 
 def confidence_of(rule: Column) -> Column:
-    return F.get(F.array(*[F.lit(c) for _, _, c in OP_RULES]), rule)
+    return F.get(word_list(str(c) for _, _, c in OP_RULES).cast("array<double>"), rule)
 
 
 def direction(text: Column, ascending: Column, substring: bool = False) -> Column:
@@ -142,7 +142,7 @@ def names_direction(text: Column, substring: bool = False) -> Column:
 
 def _number(text: Column) -> Column:
     """Digits or a number word as a number, else null."""
-    words = F.create_map(*[F.lit(x) for pair in V.NUMBER_WORDS.items() for x in pair])
+    words = F.str_to_map(F.lit(",".join(f"{w}:{n}" for w, n in V.NUMBER_WORDS.items())))
     return let(
         text,
         lambda t: F.coalesce(t.try_cast("bigint"), F.try_element_at(words, t).cast("bigint")),
@@ -194,7 +194,7 @@ def greeting(question: Column) -> Column:
 def greeting_in(text: Column, words: Column) -> Column:
     """The same from the normalised question and its tokens."""
     phrases = sorted({" ".join(_plain(g).split()) for g in V.GREETINGS})
-    single = F.array(*[F.lit(g) for g in phrases if " " not in g])
+    single = word_list(g for g in phrases if " " not in g)
     return F.when(F.regexp_replace(text, " +", " ").isin(*phrases), F.lit(0.99)).otherwise(
         let(
             words,
@@ -254,7 +254,7 @@ def literals(question: Column) -> Column:
         F.regexp_extract_all(body, F.lit(LITERAL), F.lit(0)),
         lambda s: F.regexp_replace(s, '^"|"$', ""),
     )
-    stop = F.array(*[F.lit(w) for w in V.STOP_WORDS])
+    stop = word_list(V.STOP_WORDS)
     return let(
         F.lower(F.coalesce(excluded(question), F.lit(""))),
         lambda out: F.filter(

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.calendar import add_periods, period, step
-from ..functions.coerce import let, moment, name_of, number
+from ..functions.coerce import let, moment, name_of, number, word_list
 from .series import resample_sum
 
 # Smoothing grids and the shortest series that is forecast.
@@ -125,7 +125,7 @@ def _grid(**axes: tuple[float, ...]) -> Column:
         for name, values in axes.items():
             stride //= len(values)
             place = F.pmod(F.floor(i / stride), F.lit(len(values))).cast("int")
-            fields.append(F.get(F.array(*[F.lit(v) for v in values]), place).alias(name))
+            fields.append(F.get(word_list(map(str, values)).cast("array<double>"), place).alias(name))
         return F.struct(*fields)
 
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point)

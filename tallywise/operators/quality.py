@@ -141,7 +141,7 @@ def quality_score(df: DataFrame) -> DataFrame:
         "total_columns",
         "null_cells",
         "duplicate_rows",
-        F.coalesce(F.greatest(F.lit(0.0), score), F.lit(100.0)).alias("quality_score"),
+        F.greatest(F.lit(0.0), F.coalesce(score, F.lit(100.0))).alias("quality_score"),
     )
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of
-from ..session import spread
+from ..session import cut_lineage, spread
 from .filters import literal_lookup
 from .profile import Roles
 
@@ -285,6 +285,8 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
     it names one.  Greetings and unknown questions are not remembered, a reset
     forgets.
     """
+    # Read several times below; tagging is worth storing.
+    intents = cut_lineage(intents)
     remembered = ~F.col("op").isin("greeting", "unknown")
     when = name_of(turn)
     history = carry_last(
