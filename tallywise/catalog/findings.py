@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..operators import profile
 from ..plans import answers, findings
+from ..session import scratch_path
+from ..sources.sinks import export_blocks
 from . import series
 from .registry import load, query, quoted, rounded, union_all
 
@@ -295,6 +297,44 @@ def overview_blocks(spark, sf):
     return answers.overview_blocks(blocks)
 
 
+@query(
+    "overview_export",
+    f"""WITH {series.ORDERS_SPINE} {series.TREND_SQL}""",
+)
+def overview_export(spark, sf):
+    orders = load(spark, sf, "orders")
+    blocks = answers.overview(orders, _roles(spark, sf), "o_orderkey", domain="sales")
+    paths = export_blocks(
+        {name: blocks[name] for name in ("kpis", "trend", "top")}, scratch_path(spark, "overview")
+    )
+    trend = spark.read.schema("x date, y double, moving_avg double").json(paths["trend"])
+    return rounded(trend).withColumn("y", F.round("y", 2))
+
+
+@query(
+    "table_profile",
+    """SELECT 'orders' AS name, count(*) AS row_count, 13::INTEGER AS column_count, 'sales' AS domain,
+        0.25::DOUBLE AS confidence, 100.0::DOUBLE AS quality_score, 'o_totalprice' AS measure,
+        'o_orderstatus' AS dimension, 'o_orderdate' AS date_column FROM orders""",
+)
+def table_profile(spark, sf):
+    found = answers.profile_table(load(spark, sf, "orders"), "orders")
+    return (
+        found.table.agg(F.count(F.lit(1)).alias("row_count"))
+        .select(
+            F.lit(found.name).alias("name"),
+            "row_count",
+            F.lit(len(found.table.columns)).alias("column_count"),
+            F.lit(found.roles.measure).alias("measure"),
+            F.lit(found.roles.dimension).alias("dimension"),
+            F.lit(found.roles.date).alias("date_column"),
+            found.quality().select("quality_score").scalar().alias("quality_score"),
+        )
+        .join(found.domain, F.col("name") == F.col("table_name"))
+        .drop("table_name")
+    )
+
+
 # --- findings on one answer -----------------------------------------------------------
 
 

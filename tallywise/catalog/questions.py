@@ -8,6 +8,7 @@ from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..operators import questions as ops
 from ..operators.profile import Roles
+from ..plans import findings
 from .registry import load, query, quoted
 
 # The question asked with each event; the text is the same expression in both engines.
@@ -478,3 +479,21 @@ def q_followup_turns(spark, sf):
     return ops.carry_last(
         turns, "conv_id", "turn", before={"last_user_turn": asked}, span=2
     ).select("conv_id", "turn", "last_user_turn")
+
+
+def _advice_sql() -> str:
+    cases = " ".join(
+        f"WHEN op = {quoted(op)} AND {'true' if up is None else f'ascending = {up}'} THEN {quoted(text)}"
+        for op, up, text in findings.OP_ADVICE
+    )
+    return f"CASE {cases} ELSE {quoted(findings.GENERAL_ADVICE)} END"
+
+
+@query(
+    "query_recommendations",
+    f"WITH {classed_sql()}, a AS (SELECT event_id, op, {DIRECTION_SQL} AS ascending FROM classed) "
+    f"SELECT event_id, op, ascending, {_advice_sql()} AS message FROM a",
+)
+def query_recommendations(spark, sf):
+    asked = _classified(spark, sf).select("event_id", "op", "ascending")
+    return findings.query_recommendations(asked)

@@ -5,7 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import cleaning
-from ..operators.profile import infer_domain, preview, table_summaries, workbook_summary
+from ..operators.profile import (
+    domain_scores,
+    infer_domain,
+    preview,
+    table_summaries,
+    workbook_summary,
+)
 from ..session import scratch_path
 from ..sources import sinks, tables
 from .registry import TABLES, columns_of, load, query, quoted, rounded, union_all
@@ -225,12 +231,29 @@ def _domain_sql() -> str:
     s AS (SELECT table_name, i, domain, count(*) AS score FROM t JOIN k ON contains(names, keyword)
           GROUP BY ALL),
     best AS (SELECT *, row_number() OVER (PARTITION BY table_name ORDER BY score DESC, i) AS r FROM s)
-    SELECT t.table_name, t.row_count, coalesce(domain, 'general') AS domain,
-           least(1.0, coalesce(score, 0) / 4.0)::DOUBLE AS confidence
-    FROM t LEFT JOIN best ON t.table_name = best.table_name AND r = 1"""
+    """
+
+
+DOMAIN_SQL = _domain_sql()
+
+
+@query(
+    "domain_scores",
+    DOMAIN_SQL + """SELECT table_name, row_count, domain, score FROM t JOIN s USING (table_name)""",
+)
+def domain_hits(spark, sf):
+    summaries = table_summaries({t: load(spark, sf, t) for t in TABLES})
+    hits = domain_scores(summaries).select("table_name", "domain", "score")
+    return summaries.select("table_name", "row_count").join(hits, "table_name")
 
 
-@query("domain_scores", _domain_sql())
+@query(
+    "domain_primary",
+    DOMAIN_SQL
+    + """SELECT t.table_name, t.row_count, coalesce(domain, 'general') AS domain,
+           least(1.0, coalesce(score, 0) / 4.0)::DOUBLE AS confidence
+    FROM t LEFT JOIN best ON t.table_name = best.table_name AND r = 1""",
+)
 def domains(spark, sf):
     summaries = table_summaries({t: load(spark, sf, t) for t in TABLES})
     return rounded(

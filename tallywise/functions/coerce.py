@@ -11,18 +11,19 @@ from pyspark.sql import types as T
 TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 
 # Fixed values: (shape of the text, Java date pattern).  The ISO shape is read
-# by a cast, which also takes fractions of a second.  The shape test comes
-# first, so that a value meets at most one parser.
+# by a cast, which also takes a time of day.  The shape test comes first, so
+# that a value meets at most one parser.
 ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 DATE_SHAPES = (
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
     (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{4} \d{1,2}:\d{2}:\d{2}$", "M/d/yyyy H:mm:ss"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{8}$", "yyyyMMdd"),
 )
+# The same date forms may be followed by a time of day.
+TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)$"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -83,11 +84,22 @@ def number(df: DataFrame, column: str) -> Column:
 def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SHAPES) -> Column:
     """Text to a zone-free timestamp by a fixed list of formats, null if none fits."""
     trimmed = F.trim(value)
-    branches = F.when(value.rlike(ISO_SHAPE), trimmed.try_cast("timestamp_ntz"))
-    for shape, pattern in shapes:
-        parsed = F.try_to_timestamp(trimmed, F.lit(pattern)).cast("timestamp_ntz")
-        branches = branches.when(trimmed.rlike(shape), parsed)
-    return branches
+    timed = trimmed.rlike(TIME_SHAPE)
+    day_text = F.when(timed, F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
+    time_text = F.when(timed, F.regexp_extract(trimmed, TIME_SHAPE, 2)).otherwise("00:00:00")
+    shapes = list(shapes)
+
+    def parsed(text: Column) -> Column:
+        # Dates know no time zone; the time of day is put back by an ISO cast.
+        day = F.when(text["day"].rlike(shapes[0][0]), F.try_to_date(text["day"], shapes[0][1]))
+        for shape, pattern in shapes[1:]:
+            day = day.when(text["day"].rlike(shape), F.try_to_date(text["day"], pattern))
+        return F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), text["time"]))
+
+    other = let(F.struct(day_text.alias("day"), time_text.alias("time")), parsed)
+    return F.when(value.rlike(ISO_SHAPE), trimmed.try_cast("timestamp_ntz")).otherwise(
+        other.try_cast("timestamp_ntz")
+    )
 
 
 def moment(df: DataFrame, column: str) -> Column:

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of
-from ..session import cut_lineage, spread
+from ..session import cut_lineage, small_side
 from .filters import literal_lookup
 from .profile import Roles
 
@@ -107,8 +107,9 @@ def _matched(
         .groupBy("token")
         .agg(*[best(r).alias(f"_{r}") for r in ROLES])
     )
+    # The words that mean a column are few; broadcast them if their count says so.
     return (
-        used.join(per_token, "token")
+        used.join(small_side(per_token), "token")
         .groupBy("_id")
         .agg(*[F.max(f"_{r}").alias(f"_{r}") for r in ROLES])
     )
@@ -193,7 +194,6 @@ def tag_questions(
     similarity: str = "edit",
 ) -> DataFrame:
     """The intent of every question: op, columns, numbers, direction, confidence."""
-    questions = spread(questions)
     classified = classify(questions, text_col, substring)
     op, confidence = combined_confidence(bool(roles.measures))
     hello = F.col("op") == "greeting"
@@ -370,7 +370,7 @@ def question_filters(
         ).alias("named"),
     )
     asked = base.select(id_col, F.inline("named"))
-    places = literal_lookup(data, dimensions, asked)
+    places = small_side(literal_lookup(data, dimensions, asked))
     records = asked.join(places, "literal").select(
         id_col, "column", "op", F.col("literal").alias("value")
     )

@@ -73,12 +73,3 @@ def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that comes in fewer pieces than there are cores.
-
-    For row work that costs more than a shuffle.  Large inputs pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
