@@ -67,22 +67,22 @@ def overview(
     row_key: str | list[str],
     domain: str | DataFrame = "general",
 ) -> dict[str, DataFrame]:
-    """The blocks of the executive overview, each one lazy DataFrame.
+    """The blocks of the executive overview, each one a DataFrame.
 
-    A block is there only if the columns it needs are.  Cache ``df`` when more
-    than a few blocks will be read.
+    A block is there only if the columns it needs are.  The group totals are
+    stored once and shared; the other blocks are lazy.  Cache ``df`` when more
+    than a few of them will be read.
     """
     measures, measure = list(roles.measures), roles.measure
     blocks: dict[str, DataFrame] = {}
+    ranked = pareto(df, roles.dimension, measure) if measure and roles.dimension else None
     if measures:
         blocks["kpis"] = kpi.kpi_summary(df, measures, roles.date)
     if measure and roles.date:
         blocks["trend"] = series.trend(df, roles.date, measure)
     if measure and roles.dimension:
         blocks["top"] = ranking.top_n(df, roles.dimension, measure)
-        blocks["pareto"] = (
-            pareto(df, roles.dimension, measure).orderBy("position").limit(V.PARETO_ROWS)
-        )
+        blocks["pareto"] = ranked.orderBy("position").limit(V.PARETO_ROWS)
     if len(measures) >= 2:
         blocks["correlation"] = distribution.correlation_matrix(df, measures)
         blocks["strong_pairs"] = distribution.strong_pairs(df, measures)
@@ -103,9 +103,11 @@ def overview(
             blocks["drill_time"] = drill_time(df, roles.date, measure)
     if measure and len(roles.geo) >= 2:
         blocks["drill_geo"] = drill_geo(df, list(roles.geo[: V.GEO_LEVELS]), measure)
-    blocks["insights"] = findings.insights(df, measures, measure, roles.dimension, roles.date)
+    blocks["insights"] = findings.insights(
+        df, measures, measure, roles.dimension, roles.date, ranked=ranked
+    )
     blocks["recommendations"] = findings.recommendations(
-        df, measures, measure, roles.dimension, roles.date, domain
+        df, measures, measure, roles.dimension, roles.date, domain, ranked=ranked
     )
     return blocks
 
