@@ -303,10 +303,10 @@ def overview_blocks(spark, sf):
 )
 def overview_export(spark, sf):
     orders = load(spark, sf, "orders")
-    blocks = answers.overview(orders, _roles(spark, sf), "o_orderkey", domain="sales")
-    paths = export_blocks(
-        {name: blocks[name] for name in ("kpis", "trend", "top")}, scratch_path(spark, "overview")
+    blocks = answers.overview(
+        orders, _roles(spark, sf), "o_orderkey", only=("kpis", "trend", "top")
     )
+    paths = export_blocks(blocks, scratch_path(spark, "overview"))
     trend = spark.read.schema("x date, y double, moving_avg double").json(paths["trend"])
     return rounded(trend).withColumn("y", F.round("y", 2))
 

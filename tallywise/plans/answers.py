@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from functools import cache
 
 from pyspark.sql import DataFrame
 
@@ -24,6 +26,9 @@ from ..sources.sinks import block_sizes
 from . import findings
 
 
+INSIGHT_BLOCKS = ("kpis", "trend", "insights", "recommendations")
+
+
 @dataclass(frozen=True)
 class Profile:
     """A cleaned table with its calendar columns, and what is known about it."""
@@ -66,50 +71,56 @@ def overview(
     roles: Roles,
     row_key: str | list[str],
     domain: str | DataFrame = "general",
+    only: tuple[str, ...] | None = None,
 ) -> dict[str, DataFrame]:
     """The blocks of the executive overview, each one a DataFrame.
 
-    A block is there only if the columns it needs are.  The group totals are
-    stored once and shared; the other blocks are lazy.  Cache ``df`` when more
-    than a few of them will be read.
+    A block is there only if the columns it needs are; ``only`` names the ones
+    to build.  The group totals are stored once and shared.  Cache ``df`` when
+    more than a few blocks will be read.
     """
     measures, measure = list(roles.measures), roles.measure
-    blocks: dict[str, DataFrame] = {}
-    ranked = pareto(df, roles.dimension, measure) if measure and roles.dimension else None
+    dimension, date = roles.dimension, roles.date
+    keys = [row_key] if isinstance(row_key, str) else list(row_key)
+    makers: dict[str, Callable[[], DataFrame]] = {}
+
+    @cache
+    def ranked() -> DataFrame | None:
+        return pareto(df, dimension, measure) if measure and dimension else None
+
     if measures:
-        blocks["kpis"] = kpi.kpi_summary(df, measures, roles.date)
-    if measure and roles.date:
-        blocks["trend"] = series.trend(df, roles.date, measure)
-    if measure and roles.dimension:
-        blocks["top"] = ranking.top_n(df, roles.dimension, measure)
-        blocks["pareto"] = ranked.orderBy("position").limit(V.PARETO_ROWS)
+        makers["kpis"] = lambda: kpi.kpi_summary(df, measures, date)
+    if measure and date:
+        makers["trend"] = lambda: series.trend(df, date, measure)
+    if measure and dimension:
+        makers["top"] = lambda: ranking.top_n(df, dimension, measure)
+        makers["pareto"] = lambda: ranked().orderBy("position").limit(V.PARETO_ROWS)
     if len(measures) >= 2:
-        blocks["correlation"] = distribution.correlation_matrix(df, measures)
-        blocks["strong_pairs"] = distribution.strong_pairs(df, measures)
+        makers["correlation"] = lambda: distribution.correlation_matrix(df, measures)
+        makers["strong_pairs"] = lambda: distribution.strong_pairs(df, measures)
     if measure:
-        blocks["histogram"] = distribution.histogram(df, measure)
-        keys = [row_key] if isinstance(row_key, str) else list(row_key)
-        blocks["anomalies"] = (
-            distribution.anomalies(df, measure, keys, roles.date).orderBy(*keys).limit(V.ANOMALY_ROWS)
+        makers["histogram"] = lambda: distribution.histogram(df, measure)
+        makers["anomalies"] = lambda: (
+            distribution.anomalies(df, measure, keys, date).orderBy(*keys).limit(V.ANOMALY_ROWS)
         )
-        blocks["anomaly_summary"] = distribution.anomaly_summary(df, measure)
-    blocks["missing"] = quality.missing_ranking(df)
-    blocks["quality"] = quality.quality_score(df)
+        makers["anomaly_summary"] = lambda: distribution.anomaly_summary(df, measure)
+    makers["missing"] = lambda: quality.missing_ranking(df)
+    makers["quality"] = lambda: quality.quality_score(df)
     if roles.dimensions:
-        blocks["slicers"] = filters.slicer_values(df, list(roles.dimensions))
-    if roles.date:
-        blocks["slicer_dates"] = filters.slicer_dates(df, roles.date)
-        if measure:
-            blocks["drill_time"] = drill_time(df, roles.date, measure)
+        makers["slicers"] = lambda: filters.slicer_values(df, list(roles.dimensions))
+    if date:
+        makers["slicer_dates"] = lambda: filters.slicer_dates(df, date)
+    if date and measure:
+        makers["drill_time"] = lambda: drill_time(df, date, measure)
     if measure and len(roles.geo) >= 2:
-        blocks["drill_geo"] = drill_geo(df, list(roles.geo[: V.GEO_LEVELS]), measure)
-    blocks["insights"] = findings.insights(
-        df, measures, measure, roles.dimension, roles.date, ranked=ranked
+        makers["drill_geo"] = lambda: drill_geo(df, list(roles.geo[: V.GEO_LEVELS]), measure)
+    makers["insights"] = lambda: findings.insights(
+        df, measures, measure, dimension, date, ranked=ranked()
     )
-    blocks["recommendations"] = findings.recommendations(
-        df, measures, measure, roles.dimension, roles.date, domain, ranked=ranked
+    makers["recommendations"] = lambda: findings.recommendations(
+        df, measures, measure, dimension, date, domain, ranked=ranked()
     )
-    return blocks
+    return {name: make() for name, make in makers.items() if only is None or name in only}
 
 
 def overview_blocks(blocks: dict[str, DataFrame]) -> DataFrame:
@@ -149,8 +160,7 @@ def answer(
     if op == "overview":
         return overview(df, roles, row_key)
     if op in ("insights", "explain"):
-        whole = overview(df, roles, row_key)
-        return {k: whole[k] for k in ("kpis", "trend", "insights", "recommendations") if k in whole}
+        return overview(df, roles, row_key, only=INSIGHT_BLOCKS)
     if op == "trend" and measure and date_col:
         return {"trend": series.trend(df, date_col, measure)}
     if op == "forecast" and measure and date_col:
