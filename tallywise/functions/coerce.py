@@ -57,11 +57,13 @@ def word_list(words: Iterable[str]) -> Column:
     return F.split(F.lit("|".join(words)), r"\|")
 
 
+# Fixed value: how a number is written.  Java's "1d" and "2.5f" are not numbers.
+NUMBER_SHAPE = r"(?i)^\s*[+-]?(?:(?:\d+\.?\d*|\.\d+)(?:e[+-]?\d+)?|inf(?:inity)?)\s*$"
+
+
 def text_to_number(value: Column) -> Column:
     """Text to double; anything that is not a number becomes null."""
-    # The cast would take Java's "1d" and "2.5f" for numbers.
-    parsed = F.when(~value.rlike(r"[0-9.][dDfF]\s*$"), value.try_cast("double"))
-    return F.when(~F.isnan(parsed), parsed)
+    return F.when(value.rlike(NUMBER_SHAPE), value.try_cast("double"))
 
 
 def number(df: DataFrame, column: str) -> Column:
@@ -81,6 +83,15 @@ def number(df: DataFrame, column: str) -> Column:
     return F.lit(None).cast("double")
 
 
+def digits_to_long(text: Column) -> Column:
+    """Text of up to 18 digits as a long, else null.
+
+    The shape test keeps ordinary text from the cast, which reports a failure
+    by an exception even where it only leads to null.
+    """
+    return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
+
+
 def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SHAPES) -> Column:
     """Text to a zone-free timestamp by a fixed list of formats, null if none fits."""
     trimmed = F.trim(value)

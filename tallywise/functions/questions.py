@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import vocabulary as V
-from .coerce import let, word_list
+from .coerce import digits_to_long, let, word_list
 
 
 def normalise(question: Column) -> Column:
@@ -55,7 +55,7 @@ ANY_ORDINAL = rf"\b(?:\d+(?:st|nd|rd|th)|{'|'.join(V.ORDINAL_WORDS)})\b"
 def ordinal(text: Column) -> Column:
     """Position asked for in a normalised question, such as ``5th`` or ``third``; else null."""
     digits = F.regexp_extract(text, r"\b(\d+)(?:st|nd|rd|th)\b", 1)
-    found = F.when(digits != "", digits.try_cast("bigint"))
+    found = F.when(digits != "", digits_to_long(digits))
     for word, value in V.ORDINAL_WORDS.items():
         found = found.when(text.rlike(rf"\b{word}\b"), F.lit(value).cast("bigint"))
     return found
@@ -145,7 +145,7 @@ def _number(text: Column) -> Column:
     words = F.str_to_map(F.lit(",".join(f"{w}:{n}" for w, n in V.NUMBER_WORDS.items())))
     return let(
         text,
-        lambda t: F.coalesce(t.try_cast("bigint"), F.try_element_at(words, t).cast("bigint")),
+        lambda t: F.coalesce(digits_to_long(t), F.try_element_at(words, t).cast("bigint")),
     )
 
 
@@ -234,7 +234,7 @@ COMMAND = (
 
 
 def year_named(question: Column) -> Column:
-    return F.regexp_extract(question, YEAR, 1).try_cast("int")
+    return digits_to_long(F.regexp_extract(question, YEAR, 1)).cast("int")
 
 
 def year_compared(question: Column) -> Column:
