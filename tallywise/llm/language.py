@@ -42,23 +42,21 @@ class ByteNet:
     offset: np.ndarray
 
     def _columns(self, windows: np.ndarray) -> np.ndarray:
-        """Each place's bytes side by side, as vectors."""
+        """Vectors of the bytes seen from each place side by side; all windows' first places come first."""
         n, widest = len(windows), max(WIDTHS)
-        padded = np.zeros((n, WINDOW + widest - 1), np.uint8)
-        padded[:, :WINDOW] = windows
+        padded = np.zeros((WINDOW + widest - 1, n), np.uint8)
+        padded[:WINDOW] = windows.T
         x = self.vectors[padded]
-        a, b, c = x.strides
-        spread = np.lib.stride_tricks.as_strided(x, (n, WINDOW, widest * DEPTH), (a, b, c))
-        return spread.reshape(n * WINDOW, widest * DEPTH)
+        return np.concatenate([x[j : j + WINDOW] for j in range(widest)], axis=2).reshape(WINDOW * n, -1)
 
-    def _pooled(self, windows: np.ndarray) -> np.ndarray:
-        made = self._columns(windows) @ self.filters
-        return made.reshape(len(windows), WINDOW, -1).max(axis=1)
+    def _answers(self, windows: np.ndarray) -> np.ndarray:
+        """Places x windows x filters."""
+        return (self._columns(windows) @ self.filters).reshape(WINDOW, len(windows), -1)
 
     def probabilities(self, windows: np.ndarray, at_once: int = 128) -> np.ndarray:
         out = np.empty((len(windows), len(self.languages)), np.float32)
         for i in range(0, len(windows), at_once):
-            hidden = np.maximum(self._pooled(windows[i : i + at_once]) + self.bias, 0)
+            hidden = np.maximum(self._answers(windows[i : i + at_once]).max(axis=0) + self.bias, 0)
             out[i : i + at_once] = _softmax(hidden @ self.weights + self.offset)
         return out
 
@@ -102,9 +100,9 @@ def train(texts: list[str], languages: list[str], rounds: int = 12, seed: int =
         order = rng.permutation(len(windows))
         for i in range(0, len(order), 64):
             part = order[i : i + 64]
-            made = (net._columns(windows[part]) @ net.filters).reshape(len(part), WINDOW, many)
-            where = made.argmax(axis=1)
-            top = np.take_along_axis(made, where[:, None], 1)[:, 0] + net.bias
+            made = net._answers(windows[part])
+            where = made.argmax(axis=0)
+            top = np.take_along_axis(made, where[None], 0)[0] + net.bias
             hidden = np.maximum(top, 0)
             error = _softmax(hidden @ net.weights + net.offset)
             error[np.arange(len(part)), labels[part]] -= 1

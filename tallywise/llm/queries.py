@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language
+from . import bpe, language, licenses, pii, tokenfiles
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,3 +41,49 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("token_ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query
+def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = tokenfiles.new_folder(spark)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    index = tokenfiles.write(docs, folder, public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenfiles.read(tokenfiles.with_starts(index), folder).select(
+        "doc_id", "start", F.expr("octet_length(ids) div 4").alias("n_tokens"), F.crc32("ids").alias("ids_crc32")
+    )
+
+
+@query
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.fit(docs)).select("doc_id", "pii")
+    base = F.filter("pii", lambda s: s.base)
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)), ",")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in ("email", "ip", "card", "phone")),
+        F.sha2(listed(base), 256).alias("base_sha256"),
+        listed(F.col("pii")).alias("spans"),
+    )
+
+
+@query
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    starts = F.col("licenses.base_starts")
+    return licenses.find(docs).select(
+        "doc_id",
+        "licenses.n_words",
+        F.size(starts).cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        "licenses.base_labels",
+        "licenses.labels",
+        "licenses.score",
+    )
