@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, pii, tokenfiles
+from . import bpe, decontaminate, jaccard, language, licenses, lmscore, pii, substrings, tokenfiles, topk
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +37,21 @@ def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(docs).select("doc_id", "class_id", "n_links")
 
 
+@query
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("embedding")
+    finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
+    rows = table(spark, sf_dir, "embeddings").where(x.isNotNull() & finite)
+    whole = F.transform(x, lambda v: F.floor(v.cast("double") * 1024).cast("long"))
+    return topk.search(rows.select("vec_id", whole.alias("vector")), F.col("vec_id") % 100 == 0)
+
+
+@query
+def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substrings.dedupe(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -49,6 +64,13 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op6_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    return lmscore.score(docs, good)
+
+
 @query
 def op7_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = tokenfiles.new_folder(spark)
