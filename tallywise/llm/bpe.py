@@ -39,8 +39,8 @@ class TreeCodec:
     """Encoding and decoding with one vocabulary."""
 
     LEAF = 6  # bytes encoded without further halving
-    REMEMBERED = 200_000  # windows kept in memory before starting again
-    JOINED = 1 << 16  # tokens decoded without further halving
+    REMEMBERED = 100_000  # windows kept in memory before starting again
+    JOINED = 1 << 14  # tokens decoded without further halving
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks

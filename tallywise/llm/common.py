@@ -10,7 +10,7 @@ from ..session import scratch_path
 # Rows and bytes that reach a Python worker at once.  A text longer than the
 # bytes still travels whole, alone in its batch.
 BATCH_ROWS = 256
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -103,7 +103,7 @@ class Words:
         return at, Rolling(self.hash).slices(at, at + size)
 
 
-def chunks(texts: list[bytes], limit: int = 2 << 20):
+def chunks(texts: list[bytes], limit: int = 1 << 18):
     """Consecutive ranges of ``texts`` of about ``limit`` bytes, one text at least."""
     low, held = 0, 0
     for i, text in enumerate(texts):

@@ -73,7 +73,7 @@ def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 def sketches(texts: list[bytes]) -> Iterator[tuple]:
     """(hash of the set, another, size, MinHash values) of each text; size 0 without words."""
-    for low, high in chunks(texts, 1 << 20):
+    for low, high in chunks(texts):
         hashes, first = shingle_sets(texts[low:high])
         full = np.flatnonzero(np.diff(first))
         starts = first[full]
@@ -147,8 +147,10 @@ def hopeful_pairs(group: dict[str, np.ndarray], needed: list[int]) -> tuple[np.n
         stays = equal >= least
         left, right, equal = left[stays], right[stays], equal[stays]
     if band and len(left):
-        before = (values[left, : BAND * band] == values[right, : BAND * band]).reshape(-1, band, BAND)
-        new = ~before.all(axis=2).any(axis=1)
+        new = np.ones(len(left), bool)
+        for b in range(band):
+            part = slice(BAND * b, BAND * (b + 1))
+            new &= (values[left, part] != values[right, part]).any(axis=1)
         left, right = left[new], right[new]
     return left, right
 

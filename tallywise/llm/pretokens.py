@@ -76,9 +76,9 @@ class PieceTable:
     decide what is encoded again.
     """
 
-    PLACES = 20
-    MOST_IDS = 8_000_000
-    POINTS_AT_ONCE = 1 << 20
+    PLACES = 19
+    MOST_IDS = 4_000_000
+    POINTS_AT_ONCE = 1 << 18
 
     def __init__(self, encode: Callable[[list[str]], list]):
         self.encode_pieces = encode
