@@ -49,7 +49,8 @@ def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op4_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return substrings.dedupe(docs).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    texts = substrings.dedupe_texts(docs).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+    return substrings.by_document(docs, texts).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query

@@ -101,6 +101,11 @@ def kept_words(text: bytes, starts, window: int = WINDOW) -> tuple[int, int, byt
     return len(words), int(gone.sum()), b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
 
 
+def _keys(text):
+    """Two hashes that name a text: 64 and 32 bits."""
+    return F.xxhash64(text).alias("k1"), F.hash(F.lit(1), text).alias("k2")
+
+
 def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept (bytes).
 
@@ -108,12 +113,22 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
     anywhere else too, same text included.  Null texts count as empty; texts shorter than a
     window keep all words; repeated rows, equal texts of other ids too, lose every window;
     extra columns are ignored; an empty table gives an empty one.  Whole texts are known by
-    two 64-bit hashes.
+    96 bits of hashes.
     """
+    return by_document(docs, dedupe_texts(docs, window, run, hot))
+
+
+def by_document(docs: DataFrame, texts: DataFrame) -> DataFrame:
+    """Columns of ``dedupe_texts``, or what was made of them, for each row of ``docs``."""
+    rows = docs.select("doc_id", *_keys(F.coalesce("text", F.lit(""))))
+    return rows.join(texts, ["k1", "k2"]).drop("k1", "k2")
+
+
+def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT) -> DataFrame:
+    """As ``dedupe``, one row per distinct text, named by its hashes k1 and k2."""
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
-    keys = (F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2"))
-    rows = docs.select("doc_id", *keys, text.alias("text"))
+    rows = docs.select(*_keys(text), text.alias("text"))
     # The one shuffle of texts: all uses of ``texts`` share it.
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
@@ -128,16 +143,17 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
                 yield pd.DataFrame(
                     {
                         "k1": k1[low + doc], "k2": k2[low + doc], "weight": copies[low + doc] * times,
-                        "start": first - words.first[doc], "windows": count, "least": least.view(np.int64),
+                        "place": first - words.first[doc] << 32 | count, "least": least.view(np.int64),
                     }
                 )
 
-    pieces = texts.mapInPandas(cut, "k1 long, k2 long, weight long, start int, windows int, least long")
+    pieces = texts.mapInPandas(cut, "k1 long, k2 int, weight long, place long, least long")
     shared = pieces.groupBy("least").agg(F.sum("weight").alias("weight"), F.count("*").alias("held")).where("weight > 1")
     wanted = (
-        pieces.join(shared.drop("weight"), "least")
+        pieces.drop("weight")
+        .join(shared.drop("weight"), "least")
         .groupBy("k1", "k2")
-        .agg(F.collect_list(F.struct("start", "windows", "least", (F.col("held") > hot).alias("hot"))).alias("pieces"))
+        .agg(F.collect_list(F.struct("place", "least", (F.col("held") > hot).alias("hot"))).alias("pieces"))
     )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +165,8 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
                 line = b" ".join(words)
                 edge = np.concatenate(([0], np.cumsum([len(w) + 1 for w in words]))).tolist()
                 for p in found:
-                    low, high = p["start"], p["start"] + p["windows"]
+                    low, many = divmod(p["place"], 1 << 32)
+                    high = low + many
                     spans = [(i, i + 1) for i in range(low, high)] if p["hot"] else [(low, high)]
                     for a, b in spans:
                         packed = line[edge[a] : edge[b + window - 1] - 1]
@@ -161,7 +178,7 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
             yield pd.DataFrame(out, columns=columns)
 
     packed = texts.join(wanted, ["k1", "k2"]).mapInPandas(
-        pack, "least long, hot boolean, k1 long, k2 long, start int, copies long, packed binary"
+        pack, "least long, hot boolean, k1 long, k2 int, start int, copies long, packed binary"
     )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -178,7 +195,7 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
         yield pd.DataFrame(out, columns=["k1", "k2", "starts"])
 
     buckets = packed.where("not hot").repartition("least").sortWithinPartitions("least")
-    found = buckets.mapInPandas(count, "k1 long, k2 long, starts array<int>")
+    found = buckets.mapInPandas(count, "k1 long, k2 int, starts array<int>")
     single = packed.where("hot")
     again = single.groupBy("packed").agg(F.sum("copies").alias("weight")).where("weight > 1").select("packed")
     found = found.unionByName(single.join(again, "packed").select("k1", "k2", F.array("start").alias("starts")))
@@ -192,5 +209,4 @@ def dedupe(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int = HOT
             )
 
     done = texts.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", "starts")
-    done = done.mapInPandas(keep, "k1 long, k2 long, n_words long, n_removed long, kept binary")
-    return rows.select("doc_id", "k1", "k2").join(done, ["k1", "k2"]).select("doc_id", "n_words", "n_removed", "kept")
+    return done.mapInPandas(keep, "k1 long, k2 int, n_words long, n_removed long, kept binary")
