@@ -174,6 +174,25 @@ def kpi_totals(spark, sf):
     return kpi.kpi_totals(load(spark, sf, "lineitem"), list(KPI))
 
 
+ALL_NUMBERS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+)
+
+
+@query(
+    "kpi_all_measures",
+    union_all(
+        [
+            f"SELECT {i}::INTEGER AS ordinal, {quoted(m)} AS name, round(sum({m}::DOUBLE), 2) AS value, "
+            f"round(sum({m}::DOUBLE) / count({m}), 2) AS avg, count({m}) AS count FROM lineitem"
+            for i, m in enumerate(ALL_NUMBERS)
+        ]
+    ),
+)
+def kpi_all_measures(spark, sf):
+    return kpi.kpi_totals(load(spark, sf, "lineitem"), list(ALL_NUMBERS))
+
+
 def _months_sql(measures) -> str:
     return "months AS (" + union_all(
         [

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.coerce import text_to_timestamp
 from ..operators import cleaning
 from ..operators.profile import (
     domain_scores,
@@ -186,6 +187,34 @@ def parse_dates(spark, sf):
     return cleaning.parse_dates(text)
 
 
+# Pattern to write a day with, and what is left of the day when it is read again.
+WRITTEN = (
+    ("yyyy-MM-dd'T'HH:mm:ss'Z'", "o_orderdate"),
+    ("yyyy-MM-dd HH:mm:ss'+00:00'", "o_orderdate"),
+    ("MMMM d, yyyy", "o_orderdate"),
+    ("d MMMM yyyy", "o_orderdate"),
+    ("MM-dd-yyyy", "o_orderdate"),
+    ("yyyy.MM.dd", "o_orderdate"),
+    ("M/d/yyyy h:mm a", "o_orderdate"),
+    ("MMM yyyy", "date_trunc('month', o_orderdate)"),
+    ("yyyy-MM", "date_trunc('month', o_orderdate)"),
+)
+
+
+@query(
+    "parse_dates_forms",
+    "SELECT o_orderkey, (CASE o_orderkey % " + str(len(WRITTEN)) + " "
+    + " ".join(f"WHEN {i} THEN date_trunc('day', {kept})" for i, (_, kept) in enumerate(WRITTEN))
+    + " END)::TIMESTAMP AS day FROM orders",
+)
+def parse_dates_forms(spark, sf):
+    key, day = F.col("o_orderkey"), F.date_trunc("day", "o_orderdate")
+    written = F.coalesce(
+        *[F.when(key % len(WRITTEN) == i, F.date_format(day, p)) for i, (p, _) in enumerate(WRITTEN)]
+    )
+    return load(spark, sf, "orders").select("o_orderkey", text_to_timestamp(written).alias("day"))
+
+
 @query(
     "numeric_coerce",
     """SELECT o_orderkey, try_cast(t AS DOUBLE) AS price FROM (

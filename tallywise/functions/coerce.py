@@ -21,9 +21,19 @@ DATE_SHAPES = (
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{8}$", "yyyyMMdd"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
+    (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
+    (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
+    (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"),
+    (r"^\d{4}-\d{1,2}$", "yyyy-M"),
 )
 # The same date forms may be followed by a time of day.
-TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)$"
+TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?: ?([AaPp])[Mm])?$"
+# ISO with an offset, which is turned to UTC.
+ZONED_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}[ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?\s?(Z|[+-]\d{2}:?\d{2})\s*$"
 
 
 def is_numeric(dtype: T.DataType) -> bool:
@@ -97,7 +107,13 @@ def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SH
     trimmed = F.trim(value)
     timed = trimmed.rlike(TIME_SHAPE)
     day_text = F.when(timed, F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
-    time_text = F.when(timed, F.regexp_extract(trimmed, TIME_SHAPE, 2)).otherwise("00:00:00")
+    clock = F.regexp_extract(trimmed, TIME_SHAPE, 2)
+    half = F.lower(F.regexp_extract(trimmed, TIME_SHAPE, 3))
+    hour = F.substring_index(clock, ":", 1).try_cast("int")
+    of_day = (hour % 12 + F.when(half == "p", 12).otherwise(0)).cast("string")
+    later = F.concat(F.lpad(of_day, 2, "0"), F.regexp_extract(clock, r"^\d+(:.*)$", 1))
+    clock = F.when(half == "", clock).when(hour.between(1, 12), later)
+    time_text = F.when(timed, clock).otherwise("00:00:00")
     shapes = list(shapes)
 
     def parsed(text: Column) -> Column:
@@ -108,8 +124,13 @@ def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SH
         return F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), text["time"]))
 
     other = let(F.struct(day_text.alias("day"), time_text.alias("time")), parsed)
-    return F.when(value.rlike(ISO_SHAPE), trimmed.try_cast("timestamp_ntz")).otherwise(
-        other.try_cast("timestamp_ntz")
+    # An instant is shown in the session's zone; the text's own offset has been taken off by then.
+    instant = F.when(value.rlike(ZONED_SHAPE), trimmed).try_cast("timestamp").cast("timestamp_ntz")
+    in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)
+    return (
+        F.when(value.rlike(ISO_SHAPE), trimmed.try_cast("timestamp_ntz"))
+        .when(value.rlike(ZONED_SHAPE), in_utc)
+        .otherwise(other.try_cast("timestamp_ntz"))
     )
 
 

@@ -49,6 +49,16 @@ def words_pattern(words: tuple[str, ...], substring: bool = False) -> str:
     return choice if substring else rf"\b(?:{choice})s?\b"
 
 
+def inflected(words: tuple[str, ...], substring: bool = False) -> str:
+    """As ``words_pattern``, with the endings of verbs: forecasting, predicted, prediction, changes, trending."""
+    if substring:
+        return words_pattern(words, True)
+    forms = [
+        rf"{w[:-1]}(?:e|es|ed|ing)" if w.endswith("e") else rf"{w}(?:s|ed|ing|ions?|ive)?" for w in words
+    ]
+    return rf"\b(?:{'|'.join(forms)})\b"
+
+
 ANY_ORDINAL = rf"\b(?:\d+(?:st|nd|rd|th)|{'|'.join(V.ORDINAL_WORDS)})\b"
 
 
@@ -96,14 +106,14 @@ def op_rule(text: Column, substring: bool = False) -> Column:
         )
     ]
     words = [
-        words_pattern(w, substring)
-        for w in (
-            V.FORECAST_WORDS,
-            V.ANOMALY_WORDS,
-            V.CORRELATION_WORDS,
-            V.BOTTOM_WORDS,
-            V.TOP_WORDS,
-            V.TREND_WORDS,
+        pattern(w, substring)
+        for w, pattern in (
+            (V.FORECAST_WORDS, inflected),
+            (V.ANOMALY_WORDS, inflected),
+            (V.CORRELATION_WORDS, words_pattern),
+            (V.BOTTOM_WORDS, words_pattern),
+            (V.TOP_WORDS, words_pattern),
+            (V.TREND_WORDS, inflected),
         )
     ]
     rule = F.when(text.rlike(phrases[0]), 0)

@@ -43,9 +43,12 @@ def _per_measure(df: DataFrame, measures: list[str], keep: list[str], fields: di
 
 
 def kpi_totals(
-    df: DataFrame, measures: list[str], limit: int = V.KPI_MEASURES
+    df: DataFrame, measures: list[str], limit: int | None = None
 ) -> DataFrame:
-    """Sum, mean and non-null count per measure; measures without values are left out."""
+    """Sum, mean and non-null count per measure; measures without values are left out.
+
+    Here and below all measures count unless ``limit`` cuts their list.
+    """
     measures = measures[:limit]
     long = _per_measure(_by_month(df, measures, None), measures, [], {"s": "total", "c": "count"})
     return long.where(F.col("count") > 0).select(
@@ -58,7 +61,7 @@ def kpi_totals(
 
 
 def kpi_series(
-    df: DataFrame, measures: list[str], date_col: str, limit: int = V.KPI_MEASURES
+    df: DataFrame, measures: list[str], date_col: str, limit: int | None = None
 ) -> DataFrame:
     """Gap-free monthly sums per measure: (ordinal, name, x, y).
 
@@ -102,7 +105,7 @@ def kpi_change(
     df: DataFrame,
     measures: list[str],
     date_col: str,
-    limit: int = V.KPI_MEASURES,
+    limit: int | None = None,
     complete_only: bool = False,
 ) -> DataFrame:
     """Last calendar month against the one before.
@@ -117,7 +120,7 @@ def kpi_change(
 
 
 def kpi_sparkline(
-    df: DataFrame, measures: list[str], date_col: str, limit: int = V.KPI_MEASURES
+    df: DataFrame, measures: list[str], date_col: str, limit: int | None = None
 ) -> DataFrame:
     """The last twelve monthly sums per measure."""
     series = kpi_series(df, measures, date_col, limit)
@@ -125,7 +128,7 @@ def kpi_sparkline(
 
 
 def kpi_summary(
-    df: DataFrame, measures: list[str], date_col: str | None = None, limit: int = V.KPI_MEASURES
+    df: DataFrame, measures: list[str], date_col: str | None = None, limit: int | None = None
 ) -> DataFrame:
     """One row per measure: value, avg, count, change_pct, trend, sparkline."""
     measures = measures[:limit]

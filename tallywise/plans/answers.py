@@ -89,7 +89,7 @@ def overview(
         return pareto(df, dimension, measure) if measure and dimension else None
 
     if measures:
-        makers["kpis"] = lambda: kpi.kpi_summary(df, measures, date)
+        makers["kpis"] = lambda: kpi.kpi_summary(df, measures, date, V.KPI_MEASURES)
     if measure and date:
         makers["trend"] = lambda: series.trend(df, date, measure)
     if measure and dimension:

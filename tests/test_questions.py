@@ -66,6 +66,17 @@ def test_operations(spark):
     assert each(spark, ["where are we weakest", "lowest", "highest"], Q.ascending_of(rule)) == [True, True, False]
 
 
+def test_inflected_operations(spark):
+    asked = {
+        "sales prediction": "forecast", "forecasting revenue": "forecast", "predicted profit": "forecast",
+        "forecasts by region": "forecast", "predictive view": "forecast", "trending products": "trend",
+        "changed profit by region": "trend", "changing prices": "trend", "spiked orders": "anomaly",
+        "administration costs": "summary", "describe revenue": "summary",
+    }
+    rule = Q.op_rule(Q.normalise(F.col("q")))
+    assert each(spark, list(asked), Q.op_of(rule)) == list(asked.values())
+
+
 def test_whole_words_or_substrings(spark):
     texts = ["administration costs", "stop it", "describe revenue"]
     text = Q.normalise(F.col("q"))
