@@ -340,10 +340,7 @@ def pareto(spark, sf):
         CASE WHEN cum_pct <= 70 THEN 'A' WHEN cum_pct <= 90 THEN 'B' ELSE 'C' END AS abc FROM r""",
 )
 def pareto_ranges(spark, sf):
-    # The path for more groups than one task should order.
-    return rounded(
-        contribution.pareto(load(spark, sf, "lineitem"), "l_partkey", "l_quantity", small_rows=0), 6
-    )
+    return rounded(contribution.pareto(load(spark, sf, "lineitem"), "l_partkey", "l_quantity"), 6)
 
 
 @query(

@@ -477,7 +477,7 @@ def q_followup_turns(spark, sf):
     turns = load(spark, sf, "conversations")
     asked = F.when(F.col("role") == "user", F.col("turn"))
     return ops.carry_last(
-        turns, "conv_id", "turn", before={"last_user_turn": asked}, span=2
+        turns, "conv_id", "turn", before={"last_user_turn": asked}
     ).select("conv_id", "turn", "last_user_turn")
 
 

@@ -7,14 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of
-from ..session import SMALL_ROWS
 from .prefix import running_total
 from .ranking import group_totals
 
 
-def pareto(
-    df: DataFrame, dimension: str, measure: str, small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def pareto(df: DataFrame, dimension: str, measure: str) -> DataFrame:
     """All groups by falling total with running percent and ABC class.
 
     Columns: position, dimension, measure, total, cum_pct, abc.  Empty when the
@@ -23,9 +20,7 @@ def pareto(
     """
     totals = group_totals(df, dimension, measure)
     value = totals.columns[1]
-    ordered = running_total(
-        totals, [name_of(value).desc(), name_of(dimension).asc()], value, small_rows
-    )
+    ordered = running_total(totals, [-name_of(value), name_of(dimension)], value)
     a_limit, b_limit = V.ABC_LIMITS
     return (
         ordered.where(F.col("total") > 0)

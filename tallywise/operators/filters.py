@@ -94,14 +94,16 @@ def _values(df: DataFrame, columns: list[str]) -> DataFrame:
 def literal_lookup(df: DataFrame, dimensions: list[str], literals: DataFrame) -> DataFrame:
     """The first dimension that holds each literal, whatever the case: (literal, column).
 
-    Both sides are reduced to distinct lower-case texts before they meet.
+    Values that no literal asks for are dropped before they are grouped.
     """
+    asked = literals.select("literal").distinct().withColumn("folded", F.lower("literal"))
     held = (
         _values(df, dimensions)
-        .groupBy(F.lower("value").alias("folded"))
+        .withColumn("folded", F.lower("value"))
+        .join(asked.select("folded").distinct(), "folded", "left_semi")
+        .groupBy("folded")
         .agg(F.min(F.struct("ordinal", "column")).alias("place"))
     )
-    asked = literals.select("literal").distinct().withColumn("folded", F.lower("literal"))
     return asked.join(held, "folded").select("literal", F.col("place.column").alias("column"))
 
 

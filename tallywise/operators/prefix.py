@@ -5,45 +5,54 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import SMALL_ROWS, cut_lineage, shuffle_partitions
+from ..session import shuffle_partitions
 
+# Most ranges an ordered frame is cut into, and rows looked at for each to place the cuts.
+RANGES = 256
+SAMPLED = 32
 
-def running_total(
-    df: DataFrame,
-    order: list[Column],
-    value: str,
-    small_rows: int = SMALL_ROWS,
-) -> DataFrame:
-    """Add ``running`` (inclusive prefix sum), ``total`` and ``position`` (1-based).
 
-    ``order`` must be a total order.  A frame counted as small is summed in one
-    window.  Otherwise the rows are range-partitioned on the whole order, so a
-    value shared by many rows is still split by the later order columns; each
-    range is summed on its own and shifted by the totals of the ranges before
-    it.  The ranges are written to the shared folder first: both readers then
-    see the same partition numbers, also after a lost executor.
+def cut_points(df: DataFrame, order: list[Column], ranges: int | None = None) -> DataFrame:
+    """One row: where to cut ``df`` into ranges of similar size, as a sorted array ``cuts``.
+
+    The rows with the least hashes of their order columns are the sample, so the
+    same rows always give the same cuts.  Without ``ranges`` there are as many as
+    shuffle partitions, at most ``RANGES``.
     """
-    stored = cut_lineage(df)
-    if stored.count() <= small_rows:
-        everything = Window.orderBy(*order)
-        upto = everything.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        whole = everything.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-        return stored.select(
-            "*",
-            F.sum(value).over(upto).alias("running"),
-            F.sum(value).over(whole).alias("total"),
-            F.row_number().over(everything).cast("bigint").alias("position"),
-        )
+    ranges = ranges or min(shuffle_partitions(df.sparkSession), RANGES)
+    keys = df.select(F.struct(*order).alias("_key"))
+    sample = keys.orderBy(F.xxhash64("_key"), "_key").limit(ranges * SAMPLED)
+    step = F.ceil(F.size("_all") / F.lit(ranges))
+    return sample.agg(F.sort_array(F.collect_list("_key")).alias("_all")).select(
+        F.filter("_all", lambda k, i: (i > 0) & (i % step == 0)).alias("cuts")
+    )
+
 
-    parts = shuffle_partitions(df.sparkSession)
-    ranged = cut_lineage(
-        stored.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id())
+def with_range(df: DataFrame, order: list[Column], cuts: DataFrame) -> DataFrame:
+    """Add ``_range``: how many cuts lie at or before a row."""
+    return (
+        df.withColumn("_cuts", cuts.scalar())
+        .withColumn("_key", F.struct(*order))
+        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c <= F.col("_key"))))
+        .drop("_cuts", "_key")
     )
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, ranges: int | None = None) -> DataFrame:
+    """Add ``running`` (inclusive prefix sum), ``total`` and ``position`` (1-based).
+
+    ``order`` are ascending expressions and must be a total order.  Rows are cut
+    into ranges of the whole order, so a value shared by many rows is still split
+    by the later order columns; each range is summed on its own and shifted by
+    the totals of the ranges before it.
+    """
+    # Both readers share this exchange.
+    ranged = with_range(df, order, cut_points(df, order, ranges)).repartition("_range")
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.orderBy("_range").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    # One row per range: at most ``parts`` rows, whatever the data.
+    # One row per range, whatever the data.
     offsets = (
         ranged.groupBy("_range")
         .agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_rows"))
@@ -62,7 +71,7 @@ def running_total(
         .join(F.broadcast(offsets), "_range")
         .select(
             *df.columns,
-            (F.col("_running") + F.col("_sum_before")).alias("running"),
+            (F.coalesce("_running", F.lit(0)) + F.col("_sum_before")).alias("running"),
             "total",
             (F.col("_position") + F.col("_rows_before")).cast("bigint").alias("position"),
         )

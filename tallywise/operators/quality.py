@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of, nan_to_null, number
-from ..session import small_side
 from .profile import column_quantiles
 
 # Up to this many columns, rows are grouped as they are.
@@ -59,8 +58,7 @@ def duplicate_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame
     if len(names) > DIRECT_COLUMNS:
         hashed = rows.withColumn("_h", F.xxhash64(*[name_of(c) for c in names]))
         repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
-        # Few repeated hashes are broadcast, so the rows they miss never move.
-        rows = hashed.join(small_side(repeated.select("_h")), "_h", "left_semi")
+        rows = hashed.join(repeated.select("_h"), "_h", "left_semi")
         names = ["_h", *names]
     copies = (
         rows.groupBy(*[name_of(c) for c in names])

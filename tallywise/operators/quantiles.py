@@ -1,50 +1,57 @@
 """Exact quantiles that no task has to hold a whole column for.
 
 The built-in exact percentile keeps every distinct value of a group in the
-memory of one task.  Here a sketch brackets each requested rank, a second
-sketch narrows the bracket, and only the values left between the two bounds
-are counted and ordered.  Three scans, small shuffles, exact result.  Inputs
-counted as small are ordered directly.
+memory of one task.  Here keys with few rows are ordered as they are.  For the
+others a sketch brackets each requested rank, a second sketch narrows the
+bracket, and only the values left between the two bounds are counted and
+ordered.  Their rows are met by key and salt, so one key that holds a large
+part of all rows is spread over many tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import small_side
-
-# Below this many rows the bracket is the whole group: it can be ordered as is.
+# Rows up to which the values of one key are simply ordered.
 ORDERED_ROWS = 20_000
 # Sketch accuracy: the rank error is at most rows / ACCURACY.
 ACCURACY = 10_000
 # Cut points laid through a bracket by the second sketch.
 CUTS = 500
-# Rows up to which the values of one key may simply be ordered in one task.
-ONE_PASS_ROWS = 5_000_000
+# Tasks that share the rows of one key with many rows.
+SALTS = 64
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: list[str],
-    value: str,
-    probs: list[float],
-    bounded_keys: bool = False,
-    one_pass_rows: int = ONE_PASS_ROWS,
+    df: DataFrame, keys: list[str], value: str, probs: list[float], bounded_keys: bool = False
 ) -> DataFrame:
     """Linearly interpolated quantiles per key: (keys..., n, quantiles array<double>).
 
-    Null values are ignored; a key with nulls only has ``n`` 0 and null quantiles.
+    Null values are ignored; a key with nulls only has ``n`` 0 and null
+    quantiles.  Rows with a null key are left out.
 
     ``bounded_keys`` says that the number of key values is fixed by the schema
-    (column names, say), so the bracket frames may be broadcast unchecked.
+    (column names, say), so frames of one row per key are broadcast.
     """
     if not keys:
         raise ValueError("at least one key column is needed")
-    rows = df.select(*keys, F.col(value).cast("double").alias("_v"))
-    if rows.count() <= one_pass_rows:
-        return _ranked(rows, keys, probs)
-    return _bracketed(rows, keys, probs, F.broadcast if bounded_keys else small_side)
+    rows = df.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=keys)
+    if bounded_keys:
+        return _bracketed(rows, lambda side: rows.join(F.broadcast(side), keys), keys, probs)
+    large = rows.groupBy(*keys).agg(F.count("_v").alias("_n")).where(F.col("_n") > ORDERED_ROWS)
+    # The partition a row is read in spreads equal values too.
+    rows = rows.withColumn("_salt", F.spark_partition_id() % SALTS)
+
+    def meet(side: DataFrame, how: str = "inner") -> DataFrame:
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+        return rows.join(side.withColumn("_salt", salts), [*keys, "_salt"], how)
+
+    large = large.select(*keys)
+    few = _ranked(meet(large, "left_anti"), keys, probs)
+    return few.unionByName(_bracketed(meet(large), meet, keys, probs))
 
 
 def _ranked(rows: DataFrame, keys: list[str], probs: list[float]) -> DataFrame:
@@ -81,7 +88,10 @@ def _holds(rank: Column) -> Column:
     return (F.col("_upto") > rank) & (F.col("_upto") - F.col("_rows") <= rank)
 
 
-def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], side) -> DataFrame:
+def _bracketed(
+    rows: DataFrame, meet: Callable[[DataFrame], DataFrame], keys: list[str], probs: list[float]
+) -> DataFrame:
+    """Quantiles of ``rows`` by three looks; ``meet`` joins them with a frame of one row per key."""
     slots = range(len(probs))
     margin = 2.0 / ACCURACY
     asked = [x for p in probs for x in (max(p - margin, 0.0), min(p + margin, 1.0))]
@@ -95,22 +105,20 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], side) -> Da
     targets = []
     for i, p in enumerate(probs):
         position = F.lit(p) * (F.col("n") - 1)
-        low = F.col("_min") if p - margin <= 0 else F.when(whole, F.col("_min")).otherwise(F.col("_q")[2 * i])
-        high = F.col("_max") if p + margin >= 1 else F.when(whole, F.col("_max")).otherwise(F.col("_q")[2 * i + 1])
         targets.append(
             F.struct(
                 F.lit(i).alias("slot"),
-                low.alias("low"),
-                high.alias("high"),
+                F.when(whole | F.lit(p <= margin), F.col("_min")).otherwise(F.col("_q")[2 * i]).alias("low"),
+                F.when(whole | F.lit(p + margin >= 1), F.col("_max")).otherwise(F.col("_q")[2 * i + 1]).alias("high"),
                 F.floor(position).alias("first"),
                 F.ceil(position).alias("last"),
                 (position - F.floor(position)).alias("part"),
             )
         )
-    brackets = side(first.select(*keys, "n", F.array(*targets).alias("_t")))
+    brackets = first.select(*keys, "n", F.array(*targets).alias("_t"))
 
     # Second look: rows below and inside each bracket, and cut points through it.
-    near = rows.where(F.col("_v").isNotNull()).join(brackets, keys)
+    near = meet(brackets).where(F.col("_v").isNotNull())
     inside = [F.col("_v").between(F.col("_t")[i]["low"], F.col("_t")[i]["high"]) for i in slots]
     grid = [j / CUTS for j in range(CUTS + 1)]
     second = near.groupBy(*keys).agg(
@@ -123,10 +131,11 @@ def _bracketed(rows: DataFrame, keys: list[str], probs: list[float], side) -> Da
             for i in slots
         ],
     )
-    narrowed = side(second.select(*keys, "n", F.array(*[_narrow(i) for i in slots]).alias("_t")))
+    narrowed = second.select(*keys, "n", F.array(*[_narrow(i) for i in slots]).alias("_t"))
 
     # Third look: count the values left, everything smaller as one null value.
-    spread = rows.join(narrowed, keys).select(*keys, "n", F.explode("_t").alias("t"), "_v")
+    spread = meet(narrowed).where(F.col("_v").isNotNull())
+    spread = spread.select(*keys, "n", F.explode("_t").alias("t"), "_v")
     counted = (
         spread.where(F.col("_v") <= F.col("t.high"))
         .withColumn("_v", F.when(F.col("_v") >= F.col("t.low"), F.col("_v")))

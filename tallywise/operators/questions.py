@@ -13,13 +13,12 @@ from pyspark.sql import types as T
 from ..functions import questions as Q
 from ..functions import vocabulary as V
 from ..functions.coerce import name_of
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage
 from .filters import literal_lookup
+from .prefix import cut_points, with_range
 from .profile import Roles
 
 ROLES = ("measure", "dimension", "date_col")
-# Turns per window when values are carried along a session.
-CARRY_TURNS = 4096
 
 
 @F.pandas_udf(T.DoubleType())
@@ -107,9 +106,8 @@ def _matched(
         .groupBy("token")
         .agg(*[best(r).alias(f"_{r}") for r in ROLES])
     )
-    # The words that mean a column are few; broadcast them if their count says so.
     return (
-        used.join(small_side(per_token), "token")
+        used.join(per_token, "token")
         .groupBy("_id")
         .agg(*[F.max(f"_{r}").alias(f"_{r}") for r in ROLES])
     )
@@ -227,20 +225,25 @@ def carry_last(
     turn: str,
     upto: dict[str, Column] | None = None,
     before: dict[str, Column] | None = None,
-    span: int = CARRY_TURNS,
+    ranges: int | None = None,
+    cuts: DataFrame | None = None,
 ) -> DataFrame:
     """Add, per name, the latest non-null value seen so far in the session.
 
-    ``upto`` counts the row itself, ``before`` only earlier rows.  Sessions are
-    cut into blocks of ``span`` turns; a window runs inside a block, and only
-    the last values of each block travel on, so one endless session does not
-    end in one task.
+    ``upto`` counts the row itself, ``before`` only earlier rows.  The log is cut
+    into ranges of similar row counts by session and turn; a window runs inside a
+    session's part of a range, and only the last values of each part travel on,
+    so one endless session does not end in one task, however its turns are numbered.
+    ``cuts`` are cut points found before, for logs carried over more than once.
     """
     upto, before = upto or {}, before or {}
     values = {**upto, **before}
+    order = [name_of(session), name_of(turn)]
+    cuts = cut_points(df, order, ranges) if cuts is None else cuts
     # Window and block ends read the same exchange.
     marked = (
-        df.withColumn("_block", F.floor(name_of(turn) / span))
+        with_range(df, order, cuts)
+        .withColumnRenamed("_range", "_block")
         .withColumns({f"_v_{n}": v for n, v in values.items()})
         .repartition(session, "_block")
     )
@@ -267,7 +270,7 @@ def carry_last(
         "_block",
         *[F.last(f"_e_{n}", ignorenulls=True).over(earlier).alias(f"_b_{n}") for n in values],
     )
-    # Sessions that fit one block have nothing to join.
+    # Sessions that fit one range have nothing to join.
     held = reduce(lambda a, b: a | b, [F.col(f"_b_{n}").isNotNull() for n in values])
     joined = seen.join(handed.where(held), [session, "_block"], "left")
     return joined.select(
@@ -285,8 +288,9 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
     it names one.  Greetings and unknown questions are not remembered, a reset
     forgets.
     """
-    # Read several times below; tagging is worth storing.
+    # Read several times below; tagging is worth storing on the shared folder.
     intents = cut_lineage(intents)
+    cuts = cut_points(intents, [name_of(session), name_of(turn)])
     remembered = ~F.col("op").isin("greeting", "unknown")
     when = name_of(turn)
     history = carry_last(
@@ -295,6 +299,7 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
         turn,
         upto={"_reset_at": F.when(F.col("is_reset"), when)},
         before={"_set_at": F.when(remembered, when)},
+        cuts=cuts,
     )
     known = F.col("_set_at").isNotNull() & (
         F.col("_reset_at").isNull() | (F.col("_set_at") >= F.col("_reset_at"))
@@ -315,7 +320,7 @@ def follow_ups(intents: DataFrame, session: str, turn: str) -> DataFrame:
         starts | (F.col("follow_up") & F.col("names_direction")),
         F.struct(when.alias("at"), F.col("ascending").alias("v")),
     )
-    full = carry_last(marked, session, turn, upto=values)
+    full = carry_last(marked, session, turn, upto=values, cuts=cuts)
 
     def taken(name: str) -> Column:
         kept = F.col(f"_c_{name}")
@@ -370,7 +375,7 @@ def question_filters(
         ).alias("named"),
     )
     asked = base.select(id_col, F.inline("named"))
-    places = small_side(literal_lookup(data, dimensions, asked))
+    places = literal_lookup(data, dimensions, asked)
     records = asked.join(places, "literal").select(
         id_col, "column", "op", F.col("literal").alias("value")
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.coerce import is_numeric, name_of, number
+from .prefix import running_total
 
 
 def group_totals(df: DataFrame, dimension: str, measure: str) -> DataFrame:
@@ -49,12 +50,16 @@ def bottom_n(df: DataFrame, dimension: str, measure: str, n: int = V.DEFAULT_TOP
 def nth_ranked(
     df: DataFrame, dimension: str, measure: str, n: int, ascending: bool = False
 ) -> DataFrame:
-    """The group at 1-based rank ``n``; empty when there are fewer groups."""
+    """The group at 1-based rank ``n``; empty when there are fewer groups.
+
+    Ranks are counted over ranges of the order: a deep rank gathers no more rows
+    in one task than a high one.
+    """
     totals = group_totals(df, dimension, measure)
-    if n < 1:
-        return totals.limit(0).select(F.lit(n).cast("bigint").alias("position"), "*")
-    placed = totals.orderBy(*_order(totals, ascending)).offset(n - 1).limit(1)
-    return placed.select(F.lit(n).cast("bigint").alias("position"), "*")
+    value = name_of(totals.columns[1])
+    order = [value if ascending else -value, name_of(totals.columns[0])]
+    placed = running_total(totals, order, totals.columns[1])
+    return placed.where(F.col("position") == n).select("position", *map(name_of, totals.columns))
 
 
 def rank_availability(df: DataFrame, dimension: str, measure: str, n: int) -> DataFrame:

@@ -7,11 +7,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows a frame may hold before it is too large to broadcast or to finish in
-# one task.  At ~100 bytes a row this is about 10 MB.
-SMALL_ROWS = 100_000
 
 
 def get_session(app: str = "tallywise", master: str | None = None, **conf) -> SparkSession:
@@ -65,11 +60,5 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def small_side(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
-    """Materialise ``df`` and mark it for broadcast only if its counted size allows it."""
-    stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= limit else stored
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

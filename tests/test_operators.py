@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -183,20 +184,23 @@ def test_vital_few_counts_groups_within_eighty_percent(spark):
 
 @QUICK
 @given(st.lists(st.tuples(st.integers(0, 40), st.integers(1, 9)), min_size=1, max_size=120))
-def test_pareto_ranges_equal_the_single_window(spark, rows):
+def test_pareto_equals_a_plain_loop(spark, rows):
     df = spark.createDataFrame([(k, float(v)) for k, v in rows], "k int, v double")
-    one = values(contribution.pareto(df, "k", "v").orderBy("position"), "position", "k", "cum_pct", "abc")
-    many = values(
-        contribution.pareto(df, "k", "v", small_rows=0).orderBy("position"), "position", "k", "cum_pct", "abc"
-    )
-    assert [r[:2] + (round(r[2], 9),) for r in one] == [r[:2] + (round(r[2], 9),) for r in many]
-    assert all(a[2] <= b[2] + 1e-9 for a, b in zip(one, one[1:]))
-    assert abs(one[-1][2] - 100) < 1e-9
+    found = values(contribution.pareto(df, "k", "v").orderBy("position"), "position", "k", "cum_pct")
+    totals = {}
+    for k, v in rows:
+        totals[k] = totals.get(k, 0) + v
+    upto = 0
+    for place, (k, v) in enumerate(sorted(totals.items(), key=lambda r: (-r[1], r[0]))):
+        upto += v
+        assert found[place][:2] == (place + 1, k)
+        assert abs(found[place][2] - upto / sum(totals.values()) * 100) < 1e-9
+    assert len(found) == len(totals)
 
 
 def test_one_value_shared_by_most_rows_is_split_over_ranges(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(1).alias("v"))
-    out = running_total(df, [F.col("v").desc(), F.col("id").asc()], "v", small_rows=0)
+    out = running_total(df, [-F.col("v"), F.col("id")], "v", ranges=8)
     expected, total = {}, 0
     for key, v in sorted(((i, i if i % 3 == 0 else 1) for i in range(4000)), key=lambda r: (-r[1], r[0])):
         total += v
@@ -217,10 +221,10 @@ def linear_quantile(data, p):
 
 
 @pytest.mark.parametrize("shape", ["spread", "ties", "tail"])
-@pytest.mark.parametrize("one_pass_rows", [10**9, 0])
-def test_quantiles_are_exact(spark, shape, one_pass_rows, monkeypatch):
+@pytest.mark.parametrize("ordered_rows,bounded", [(10**9, False), (500, False), (500, True)])
+def test_quantiles_are_exact(spark, shape, ordered_rows, bounded, monkeypatch):
     # Small limits send even this fixture through all three looks.
-    monkeypatch.setattr(quantiles, "ORDERED_ROWS", 500)
+    monkeypatch.setattr(quantiles, "ORDERED_ROWS", ordered_rows)
     monkeypatch.setattr(quantiles, "ACCURACY", 100)
     rng = random.Random(3)
     draw = {
@@ -232,7 +236,7 @@ def test_quantiles_are_exact(spark, shape, one_pass_rows, monkeypatch):
     rows = [(k, v) for k, vs in data.items() for v in vs] + [("none", None), ("cold", None)]
     df = spark.createDataFrame(rows, "k string, v double")
     probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
-    got = quantiles.exact_quantiles(df, ["k"], "v", probs, one_pass_rows=one_pass_rows)
+    got = quantiles.exact_quantiles(df, ["k"], "v", probs, bounded)
     found = {r["k"]: r for r in got.collect()}
     for k, vs in data.items():
         assert found[k]["n"] == len(vs)
@@ -240,6 +244,17 @@ def test_quantiles_are_exact(spark, shape, one_pass_rows, monkeypatch):
     assert found["none"]["n"] == 0 and found["none"]["quantiles"] is None
 
 
+def test_rows_of_a_hot_key_are_spread_by_salt(spark):
+    df = spark.range(100).select((F.col("id") % 7).alias("k"), F.col("id").alias("v"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = quantiles.exact_quantiles(df, ["k"], "v", [0.5])
+        plan = found._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search(r"hashpartitioning\(k#\d+L, _salt#\d+", plan)
+
+
 @QUICK
 @given(st.lists(st.floats(-1e6, 1e6, allow_nan=False), min_size=1, max_size=60))
 def test_histogram_counts_every_value(spark, data):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallywise.functions import questions as Q
 from tallywise.operators import questions as ops
+from tallywise.operators.prefix import cut_points, with_range
 from tallywise.operators.profile import Roles
 
 ROLES = Roles(
@@ -209,16 +210,30 @@ def test_follow_ups(spark):
     assert (rows[9]["op"], rows[9]["measure"], rows[9]["n"]) == ("trend", "Revenue", None)
 
 
-@pytest.mark.parametrize("span", [1, 3, 1000])
-def test_values_are_carried_across_blocks(spark, span):
+@pytest.mark.parametrize("ranges", [1, 3, 1000])
+def test_values_are_carried_across_ranges(spark, ranges):
     seen = [None, 5, None, None, None, 7, None, None, 1, None]
     df = spark.createDataFrame(
         [(s, i, v if s else None) for s in (0, 1) for i, v in enumerate(seen)], "s int, t int, v int"
     )
-    out = ops.carry_last(df, "s", "t", upto={"now": F.col("v")}, before={"past": F.col("v")}, span=span)
+    out = ops.carry_last(df, "s", "t", upto={"now": F.col("v")}, before={"past": F.col("v")}, ranges=ranges)
     rows = {(r["s"], r["t"]): (r["now"], r["past"]) for r in out.collect()}
     last = None
     for i, v in enumerate(seen):
         before, last = last, v if v is not None else last
         assert rows[(1, i)] == (last, before)
         assert rows[(0, i)] == (None, None)
+
+
+def test_one_session_with_sparse_turns_is_spread(spark):
+    # A third of all turns in one session, numbered far apart.
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("s"),
+        (F.col("id") * 1_000_003).alias("t"),
+        F.when(F.col("id") % 300 == 0, F.col("id")).alias("v"),
+    )
+    order = [F.col("s"), F.col("t")]
+    placed = with_range(df, order, cut_points(df, order, 12)).where("s = 0")
+    assert placed.agg(F.count_distinct("_range")).first()[0] >= 3
+    out = ops.carry_last(df, "s", "t", upto={"now": F.col("v")}, ranges=12).where("s = 0")
+    assert all(r["now"] == r["t"] // 1_000_003 // 300 * 300 for r in out.collect())
