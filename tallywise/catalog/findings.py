@@ -10,7 +10,7 @@ from ..plans import answers, findings
 from ..session import scratch_path
 from ..sources.sinks import export_blocks
 from . import series
-from .registry import load, query, quoted, rounded, union_all
+from .registry import ORACLES, load, query, quoted, rounded, union_all
 
 # Line items with a derived measure and a tax that is missing in four rows of ten.
 SALES_SQL = """(SELECT l_returnflag, l_shipdate, l_quantity, l_extendedprice,
@@ -221,6 +221,12 @@ def answer_forecast(spark, sf):
     return rounded(_answer(spark, sf, "forecast", periods=series.HORIZON)["forecast"], 2)
 
 
+@query("answer_yoy", ORACLES["yoy_compare"])
+def answer_yoy(spark, sf):
+    compare = [{"column": "o_orderdate", "op": "compare_yoy", "value": None}]
+    return rounded(_answer(spark, sf, "summary", measure="o_totalprice", active_filters=compare)["yoy"], 2)
+
+
 @query(
     "answer_anomaly",
     """WITH s AS (SELECT avg(o_totalprice) AS m, stddev_samp(o_totalprice) AS s FROM orders)

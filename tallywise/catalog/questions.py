@@ -312,17 +312,18 @@ def q_filters(spark, sf):
     )
 
 
-@query(
-    "q_filter_records",
-    f"""WITH {ASKED_SQL}, {NAMED_SQL},
+RECORDS_SQL = f"""{ASKED_SQL}, {NAMED_SQL},
     l AS (SELECT event_id, 'eq' AS op, unnest(list_distinct(literals)) AS value FROM kept
           UNION ALL SELECT event_id, 'neq', excluded FROM kept WHERE excluded IS NOT NULL),
     v AS (SELECT min(i) AS i, v FROM (SELECT 0 AS i, lower(event_type) AS v FROM events
-          UNION ALL SELECT 1, lower(props) FROM events) GROUP BY v)
+          UNION ALL SELECT 1, lower(props) FROM events) GROUP BY v),
+    records AS (
     SELECT event_id, ['event_type', 'props'][i + 1] AS "column", op, value FROM l JOIN v ON lower(value) = v
     UNION ALL SELECT event_id, 'ts', 'year_eq', year::VARCHAR FROM kept WHERE year IS NOT NULL
-    UNION ALL SELECT event_id, 'ts', 'compare_yoy', NULL FROM kept WHERE yoy""",
-)
+    UNION ALL SELECT event_id, 'ts', 'compare_yoy', NULL FROM kept WHERE yoy)"""
+
+
+@query("q_filter_records", f"WITH {RECORDS_SQL} SELECT * FROM records")
 def q_filter_records(spark, sf):
     events = load(spark, sf, "events")
     return ops.question_filters(
@@ -330,6 +331,25 @@ def q_filter_records(spark, sf):
     )
 
 
+# A session is a user, as for follow-ups.
+@query(
+    "q_session_filters",
+    f"""WITH {RECORDS_SQL},
+    e AS (SELECT event_id, user_id, {REFINE_SQL} AS adds,
+        sum(({RESET_SQL})::INTEGER) OVER (PARTITION BY user_id ORDER BY event_id) AS epoch FROM asked),
+    s AS (SELECT DISTINCT user_id, epoch, event_id AS at, "column" FROM e JOIN records USING (event_id) WHERE adds),
+    f AS (SELECT e.event_id, e.user_id, s."column", max(s.at) AS at FROM e JOIN s
+        ON e.user_id = s.user_id AND e.epoch = s.epoch AND s.at <= e.event_id GROUP BY ALL)
+    SELECT f.event_id, f.user_id, f."column", r.op, r.value
+    FROM f JOIN records r ON r.event_id = f.at AND f."column" = r."column" """,
+)
+def q_session_filters(spark, sf):
+    return ops.session_filters(
+        _asked(spark, sf), q_filter_records(spark, sf), "event_id", "user_id", "event_id", "q",
+        ["event_type", "props", "ts"],
+    )
+
+
 def _columns_sql() -> str:
     """best(event_id, measure, measure_score, ...): columns matched by the score ladder."""
     families = ", ".join(

@@ -97,7 +97,7 @@ LISTED = ("customer", "supplier", "part", "orders", "events")
     ),
 )
 def schema_listing(spark, sf):
-    return tables.schema_listing({t: load(spark, sf, t) for t in LISTED})
+    return tables.schema_listing({t: load(spark, sf, t) for t in LISTED}, keys=True)
 
 
 SELECT_TEXT = (

@@ -407,3 +407,57 @@ def question_filters(
         ),
     )
     return records.unionByName(dated)
+
+
+def session_filters(
+    questions: DataFrame,
+    records: DataFrame,
+    id_col: str,
+    session: str,
+    turn: str,
+    text_col: str,
+    columns: list[str],
+) -> DataFrame:
+    """Filters in force after each question: (id, session, column, op, value).
+
+    ``records`` is the output of :func:`question_filters`.  Refinements add theirs
+    to the session's; those on a column replace all earlier ones on it, and a reset
+    drops everything before it.  ``columns`` are the columns filters may name.
+    """
+    question = name_of(text_col)
+    named = records.groupBy(id_col).agg(
+        *[
+            F.sort_array(
+                F.collect_list(F.when(F.col("column") == c, F.struct("op", "value")))
+            ).alias(f"_f{i}")
+            for i, c in enumerate(columns)
+        ]
+    )
+    turns = questions.select(
+        *dict.fromkeys([id_col, session, turn]),
+        Q.is_refinement(question).alias("_adds"),
+        Q.is_reset(question).alias("_drops"),
+    )
+    when = name_of(turn)
+    values = {"_reset_at": F.when(F.col("_drops"), when)}
+    for i in range(len(columns)):
+        values[f"_a{i}"] = F.when(
+            F.col("_adds") & (F.size(f"_f{i}") > 0),
+            F.struct(when.alias("at"), F.col(f"_f{i}").alias("records")),
+        )
+    cuts = cut_points(questions, [name_of(session), when])
+    carried = carry_last(
+        turns.join(named, id_col, "left"), session, turn, upto=values, cuts=cuts
+    )
+
+    def in_force(i: int, column: str) -> Column:
+        kept = F.col(f"_a{i}")
+        current = F.col("_reset_at").isNull() | (kept["at"] >= F.col("_reset_at"))
+        told = F.transform(
+            kept["records"],
+            lambda r: F.struct(F.lit(column).alias("column"), r["op"].alias("op"), r["value"].alias("value")),
+        )
+        return F.when(current, told)
+
+    every = F.flatten(F.array_compact(F.array(*[in_force(i, c) for i, c in enumerate(columns)])))
+    return carried.select(*dict.fromkeys([id_col, session]), F.inline(every))

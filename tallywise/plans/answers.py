@@ -6,7 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 
 from ..functions import vocabulary as V
 from ..operators import distribution, filters, forecast, kpi, quality, ranking, series
@@ -146,17 +146,62 @@ def answer(
 
     Columns the question does not name are taken from the profile.  An
     operation whose columns are missing falls back to what is there: a ranking,
-    a trend, or the KPI with its histogram.
+    a trend, or the KPI with its histogram.  A record ``compare_yoy`` filters
+    nothing; it adds the block ``yoy``.
     """
+    if op in ("greeting", "unknown"):
+        return {}
     if active_filters:
         df = filters.apply_filters(df, list(active_filters))
     measure = measure or roles.measure
     dimension = dimension or roles.dimension
     date_col = date_col or roles.date
-    measures = list(roles.measures)
+    blocks = _blocks(df, roles, op, measure, dimension, date_col, n, periods, nth_index, ascending, row_key)
+    compared = [f["column"] for f in active_filters if f.get("op") == "compare_yoy"]
+    if measure and compared and compared[0] in df.columns:
+        blocks["yoy"] = series.yoy_compare(df, compared[0], measure)
+    return blocks
 
-    if op in ("greeting", "unknown"):
-        return {}
+
+def answer_question(
+    df: DataFrame,
+    roles: Roles,
+    intent: Row | dict,
+    active_filters: list[dict] = (),
+    row_key: str | list[str] = (),
+) -> dict[str, DataFrame]:
+    """The blocks that answer one row of tagged questions under the filters in force.
+
+    ``intent`` is a row of ``tag_questions`` or ``follow_ups``, ``active_filters``
+    that question's rows of ``session_filters`` (or ``question_filters``).
+    """
+    asked = intent.asDict() if isinstance(intent, Row) else dict(intent)
+    taken = ("measure", "dimension", "date_col", "n", "periods", "nth_index")
+    return answer(
+        df,
+        roles,
+        asked["op"],
+        **{k: asked.get(k) for k in taken},
+        ascending=bool(asked.get("ascending")),
+        row_key=row_key,
+        active_filters=[f.asDict() if isinstance(f, Row) else f for f in active_filters],
+    )
+
+
+def _blocks(
+    df: DataFrame,
+    roles: Roles,
+    op: str,
+    measure: str | None,
+    dimension: str | None,
+    date_col: str | None,
+    n: int | None,
+    periods: int | None,
+    nth_index: int | None,
+    ascending: bool,
+    row_key: str | list[str],
+) -> dict[str, DataFrame]:
+    measures = list(roles.measures)
     if op == "overview":
         return overview(df, roles, row_key)
     if op in ("insights", "explain"):

@@ -112,14 +112,27 @@ def sample_table(
     return df.orderBy(name_of(order_key)).limit(rows) if order_key else df.limit(rows)
 
 
-def schema_listing(tables: dict[str, DataFrame]) -> DataFrame:
+def schema_listing(tables: dict[str, DataFrame], keys: bool = False) -> DataFrame:
     """Columns of every table: (table_name, ordinal, column, type, nullable, inferred_key).
 
-    Files carry no key constraints.  ``inferred_key`` marks columns that are
-    unique and complete in the data; ``nullable`` tells whether nulls occur.
+    Files carry no key constraints.  With ``keys`` the data are read:
+    ``inferred_key`` marks columns that are unique and complete, ``nullable``
+    tells whether nulls occur.  Without, ``nullable`` is what the schema says,
+    ``inferred_key`` is null and nothing is read.
     """
     parts = None
     for name, df in tables.items():
+        if not keys:
+            listed = [
+                (name, i, f.name, f.dataType.simpleString(), f.nullable, None)
+                for i, f in enumerate(df.schema.fields)
+            ]
+            part = df.sparkSession.createDataFrame(
+                listed,
+                "table_name string, ordinal int, column string, type string, nullable boolean, inferred_key boolean",
+            )
+            parts = part if parts is None else parts.unionByName(part)
+            continue
         part = column_counts(df).select(
             F.lit(name).alias("table_name"),
             "ordinal",

@@ -158,3 +158,22 @@ def test_values_agree_with_a_plain_loop(spark, data):
     got = [(r["o_custkey"], r["o_totalprice"]) for r in ranking.top_n(orders, "o_custkey", "o_totalprice", 3).collect()]
     assert [k for k, _ in got] == [k for k, _ in expected]
     assert all(math.isclose(a, b) for (_, a), (_, b) in zip(got, expected))
+
+
+@pytest.mark.parametrize("text,blocks", [
+    ("top 2 regions by revenue", {"top"}),
+    ("revenue trend", {"trend"}),
+    ("forecast revenue for 3 months", {"forecast"}),
+    ("the second region by revenue", {"nth", "availability"}),
+    ("find anomalies in profit", {"anomalies", "anomaly_summary"}),
+    ("correlation between revenue and profit", {"correlation", "strong_pairs"}),
+    ("hello", set()),
+])
+def test_tagged_questions_are_answered(spark, profiled, text, blocks):
+    asked = spark.createDataFrame([(1, text)], "id int, q string")
+    intent = ops.tag_questions(asked, "id", "q", profiled.roles).first()
+    made = answers.answer_question(profiled.source, profiled.roles, intent, row_key="OrderDate")
+    assert set(made) == blocks
+    compare = [{"column": "OrderDate", "op": "compare_yoy", "value": None}]
+    again = answers.answer_question(profiled.source, profiled.roles, intent, compare, "OrderDate")
+    assert set(again) == (blocks | {"yoy"} if blocks else set())

@@ -237,3 +237,21 @@ def test_one_session_with_sparse_turns_is_spread(spark):
     assert placed.agg(F.count_distinct("_range")).first()[0] >= 3
     out = ops.carry_last(df, "s", "t", upto={"now": F.col("v")}, ranges=12).where("s = 0")
     assert all(r["now"] == r["t"] // 1_000_003 // 300 * 300 for r in out.collect())
+
+
+def test_session_filters_add_replace_and_reset(spark):
+    said = ["Only East", "just 2024", "Only West", "revenue in 2020", "reset", "exclude East", "hello"]
+    asked = spark.createDataFrame([(i, 1, q) for i, q in enumerate(said)] + [(90, 2, "Only East")],
+                                  "id int, s int, q string")
+    data = spark.createDataFrame([("East",), ("West",)], "Region string")
+    records = ops.question_filters(asked, "id", "q", data, ["Region"], "OrderDate")
+    out = ops.session_filters(asked, records, "id", "s", "id", "q", ["Region", "OrderDate"])
+    found = {}
+    for r in out.collect():
+        found.setdefault(r["id"], set()).add((r["column"], r["op"], r["value"]))
+    east, west, year = ("Region", "eq", "East"), ("Region", "eq", "West"), ("OrderDate", "year_eq", "2024")
+    # A question that refines nothing leaves the filters alone.
+    assert found == {0: {east}, 1: {east, year}, 2: {west, year}, 3: {west, year},
+                     5: {("Region", "neq", "East")}, 6: {("Region", "neq", "East")}, 90: {east}}
+    none = ops.session_filters(asked.limit(0), records.limit(0), "id", "s", "id", "q", ["Region"])
+    assert none.count() == 0
