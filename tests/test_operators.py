@@ -26,7 +26,6 @@ from tallywise.operators import (
     series,
 )
 from tallywise.operators.prefix import running_total
-from tallywise.sources.tables import schema_listing
 from tallywise.sources import sinks, tables
 
 QUICK = settings(
@@ -464,6 +463,6 @@ def test_export_blocks(spark, tmp_path):
 
 def test_schema_listing_without_keys_reads_nothing(spark):
     df = spark.createDataFrame([(1, "a")], "k int, `a b` string").withColumn("c", F.raise_error(F.lit("read")))
-    rows = schema_listing({"t": df}).collect()
+    rows = tables.schema_listing({"t": df}).collect()
     assert [(r["table_name"], r["ordinal"], r["column"]) for r in rows] == [("t", 0, "k"), ("t", 1, "a b"), ("t", 2, "c")]
     assert {r["inferred_key"] for r in rows} == {None}
