@@ -110,10 +110,14 @@ def literal_lookup(df: DataFrame, dimensions: list[str], literals: DataFrame) ->
 def slicer_values(
     df: DataFrame,
     dimensions: list[str],
-    max_columns: int = V.SLICER_COLUMNS,
+    max_columns: int | None = None,
     max_values: int = V.SLICER_VALUES,
 ) -> DataFrame:
-    """Choices offered per dimension, the most frequent first: (ordinal, column, place, value, rows)."""
+    """Choices offered per dimension, the most frequent first: (ordinal, column, place, value, rows).
+
+    A report of the ``max_values`` most frequent values of every column; only a
+    display limits the columns.
+    """
     counted = (
         _values(df, dimensions[:max_columns])
         .groupBy("ordinal", "column", "value")

@@ -107,7 +107,9 @@ def overview(
     makers["missing"] = lambda: quality.missing_ranking(df)
     makers["quality"] = lambda: quality.quality_score(df)
     if roles.dimensions:
-        makers["slicers"] = lambda: filters.slicer_values(df, list(roles.dimensions))
+        makers["slicers"] = lambda: filters.slicer_values(
+            df, list(roles.dimensions), V.SLICER_COLUMNS
+        )
     if date:
         makers["slicer_dates"] = lambda: filters.slicer_dates(df, date)
     if date and measure:
