@@ -129,7 +129,7 @@ def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int
     small_batches(docs.sparkSession)
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(*_keys(text), text.alias("text"))
-    # The one shuffle of texts: all uses of ``texts`` share it.
+    # The one shuffle of texts: all uses of ``texts`` share it, so all take all of its columns.
     texts = rows.groupBy("k1", "k2").agg(F.first("text").alias("text"), F.count("*").alias("copies"))
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,7 +157,7 @@ def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int
     )
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["least", "hot", "k1", "k2", "start", "copies", "packed"]
+        columns = ["least", "k1", "k2", "start", "copies", "packed"]
         for batch in batches:
             out, held = [], 0
             for k1, k2, text, copies, found in batch[["k1", "k2", "text", "copies", "pieces"]].itertuples(index=False):
@@ -170,16 +170,19 @@ def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int
                     spans = [(i, i + 1) for i in range(low, high)] if p["hot"] else [(low, high)]
                     for a, b in spans:
                         packed = line[edge[a] : edge[b + window - 1] - 1]
-                        out.append((p["least"], p["hot"], k1, k2, a, copies, packed))
+                        out.append((p["least"], k1, k2, a, copies, packed))
                         held += len(packed)
                 if held > 1 << 22:
                     yield pd.DataFrame(out, columns=columns)
                     out, held = [], 0
             yield pd.DataFrame(out, columns=columns)
 
-    packed = texts.join(wanted, ["k1", "k2"]).mapInPandas(
-        pack, "least long, hot boolean, k1 long, k2 int, start int, copies long, packed binary"
-    )
+    def packed(one_by_one: bool) -> DataFrame:
+        chosen = F.filter("pieces", lambda p: p.hot == one_by_one)
+        mine = wanted.select("k1", "k2", chosen.alias("pieces")).where(F.size("pieces") > 0)
+        return texts.join(mine, ["k1", "k2"]).mapInPandas(
+            pack, "least long, k1 long, k2 int, start int, copies long, packed binary"
+        )
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
@@ -194,9 +197,9 @@ def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int
                 out = []
         yield pd.DataFrame(out, columns=["k1", "k2", "starts"])
 
-    buckets = packed.where("not hot").repartition("least").sortWithinPartitions("least")
+    buckets = packed(one_by_one=False).repartition("least").sortWithinPartitions("least")
     found = buckets.mapInPandas(count, "k1 long, k2 int, starts array<int>")
-    single = packed.where("hot")
+    single = packed(one_by_one=True)
     again = single.groupBy("packed").agg(F.sum("copies").alias("weight")).where("weight > 1").select("packed")
     found = found.unionByName(single.join(again, "packed").select("k1", "k2", F.array("start").alias("starts")))
     starts = found.groupBy("k1", "k2").agg(F.flatten(F.collect_list("starts")).alias("starts"))
@@ -208,5 +211,5 @@ def dedupe_texts(docs: DataFrame, window: int = WINDOW, run: int = RUN, hot: int
                 {"k1": batch["k1"], "k2": batch["k2"], "n_words": [m[0] for m in made], "n_removed": [m[1] for m in made], "kept": [m[2] for m in made]}
             )
 
-    done = texts.join(starts, ["k1", "k2"], "left").select("k1", "k2", "text", "starts")
+    done = texts.join(starts, ["k1", "k2"], "left")
     return done.mapInPandas(keep, "k1 long, k2 int, n_words long, n_removed long, kept binary")
