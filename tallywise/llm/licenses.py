@@ -155,11 +155,12 @@ def scan(text: str, automata: list[Automaton]) -> dict:
     starts, base = [], set()
     for phrase, label in PHRASES:
         wanted = f" {phrase} ".encode()
-        at = line.find(wanted)
+        at, seen, word = line.find(wanted), 0, 0
         while at >= 0:
-            starts.append(line.count(b" ", 0, at))
+            word += line.count(b" ", seen, at)  # blanks since the last place
+            starts.append(word)
             base.add(label)
-            at = line.find(wanted, at + 1)
+            at, seen = line.find(wanted, at + 1), at
     found, covered, plain = [], 0, None
     for a in automata:
         if f" {a.needed} ".encode() in line:
