@@ -47,6 +47,7 @@ TEMPLATES = (
 CASES = " ".join(f"WHEN {i} THEN {t}" for i, t in enumerate(TEMPLATES))
 TEXT = f"CASE event_id % {len(TEMPLATES)} {CASES} END"
 ASKED_SQL = f"asked AS (SELECT event_id, user_id, {TEXT} AS q FROM events)"
+SAID_SQL = "asked AS (SELECT conv_id, turn, text AS q FROM conversations)"
 
 
 def _asked(spark, sf):
@@ -152,11 +153,11 @@ def rule_sql(substring: bool = False) -> str:
     return "CASE " + " ".join(f"WHEN {r} THEN {i}" for i, r in enumerate(rules)) + " ELSE 12 END"
 
 
-def classed_sql(substring: bool = False) -> str:
-    """classed(event_id, q, t, rule, op, base, conf)."""
+def classed_sql(substring: bool = False, asked: str = ASKED_SQL) -> str:
+    """classed(keys of ``asked``, q, t, rule, op, base, conf)."""
     names = "['overview', 'insights', 'explain', 'top', 'top', 'forecast', 'anomaly', 'correlation', " \
             "'top', 'top', 'trend', 'nth', 'summary']"
-    return f"""{ASKED_SQL}, texts AS (SELECT *, {norm_sql('q')} AS t FROM asked),
+    return f"""{asked}, texts AS (SELECT *, {norm_sql('q')} AS t FROM asked),
     ruled AS (SELECT *, {rule_sql(substring)} AS rule FROM texts),
     classed AS (SELECT *, {names}[rule + 1] AS op, rule IN (4, 8) AS base,
         CASE WHEN rule <= 4 THEN 0.9 WHEN rule <= 10 THEN 0.85 WHEN rule = 11 THEN 0.8 ELSE 0.4 END::DOUBLE
@@ -252,6 +253,20 @@ def q_direction(spark, sf):
     return _classified(spark, sf).select("event_id", "ascending")
 
 
+@query(
+    "q_conversation_intents",
+    f"""WITH {classed_sql(asked=SAID_SQL)} SELECT conv_id, turn, op, conf AS op_confidence,
+        {DIRECTION_SQL} AS ascending, CASE WHEN op = 'top' THEN {TOP_SQL} END AS n,
+        CASE WHEN op = 'forecast' THEN {HORIZON_SQL} END AS periods,
+        CASE WHEN op = 'nth' THEN {ORDINAL_SQL} END::BIGINT AS nth_index FROM classed""",
+)
+def q_conversation_intents(spark, sf):
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return ops.classify(turns, "text").select(
+        "conv_id", "turn", "op", "op_confidence", "ascending", "n", "periods", "nth_index"
+    )
+
+
 _PHRASES = sorted({" ".join(g.replace("'", " ").split()) for g in V.GREETINGS})
 GREETING_SQL = f"""CASE WHEN regexp_replace(t, ' +', ' ', 'g') IN ({', '.join(map(quoted, _PHRASES))}) THEN 0.99
     WHEN len({tokens_sql('q')}) <= 3 AND list_has_any({tokens_sql('q')},
