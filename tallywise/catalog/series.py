@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import forecast, series
-from ..operators.forecast import HOLT_GRID, SEASONAL_GRID, SES_GRID
+from ..operators.forecast import HOLT_GRID, HOLT_STEPS, SEASONAL_GRID, SEASONAL_STEPS, SES_GRID, SES_STEPS
 from .registry import load, query, rounded
 
 
@@ -134,41 +134,70 @@ def _axis(values) -> str:
     return "(SELECT unnest([" + ", ".join(f"{v}::DOUBLE" for v in values) + "]))"
 
 
-MODEL_SQL = f"""ses AS (
-        SELECT k, part, a, 1::BIGINT AS i, ys[1] AS l, 0::DOUBLE AS sse FROM tasks, {_axis(SES_GRID)} g(a)
+def _points(axes: str, values) -> str:
+    """tasks with every combination of ``values`` on the axes."""
+    grids = ", ".join(f"{_axis(values)} g{x}({x})" for x in axes)
+    return f"SELECT k, part, {', '.join(axes)} FROM tasks, {grids}"
+
+
+def _near(axes: str, steps, fitted: str) -> str:
+    """The same around the winner of the first search."""
+    moved = ", ".join(f"w.{x} + d{x}.v AS {x}" for x in axes)
+    grids = ", ".join(f"{_axis(steps)} d{x}(v)" for x in axes)
+    return f"SELECT k, part, {moved} FROM ({_winner(axes, fitted)}) w, {grids}"
+
+
+def _winner(axes: str, fitted: str) -> str:
+    return f"""SELECT {fitted}.* FROM {fitted} JOIN tasks USING (k, part) WHERE i = len(ys)
+        QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY sse, {', '.join(axes)}) = 1"""
+
+
+def _ses_sql(name: str, points: str) -> str:
+    return f"""{name} AS (
+        SELECT k, part, a, 1::BIGINT AS i, ys[1] AS l, 0::DOUBLE AS sse FROM ({points}) JOIN tasks USING (k, part)
         UNION ALL
         SELECT k, part, a, i + 1, a * ys[i + 1] + (1 - a) * l, sse + (ys[i + 1] - l) ** 2
-        FROM ses JOIN tasks USING (k, part) WHERE i < len(ys)),
-    holt AS (
+        FROM {name} JOIN tasks USING (k, part) WHERE i < len(ys))"""
+
+
+def _holt_sql(name: str, points: str) -> str:
+    return f"""{name} AS (
         SELECT k, part, a, b, 2::BIGINT AS i, ys[2] AS l, ys[2] - ys[1] AS t, 0::DOUBLE AS sse
-        FROM tasks, {_axis(HOLT_GRID)} g(a), {_axis(HOLT_GRID)} h(b)
+        FROM ({points}) JOIN tasks USING (k, part)
         UNION ALL
         SELECT k, part, a, b, i + 1, a * ys[i + 1] + (1 - a) * (l + t),
             b * (a * ys[i + 1] + (1 - a) * (l + t) - l) + (1 - b) * t, sse + (ys[i + 1] - l - t) ** 2
-        FROM holt JOIN tasks USING (k, part) WHERE i < len(ys)),
-    started AS (SELECT k, part, list_avg(ys[1:12]) AS m, (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS t
-        FROM tasks WHERE seasonal),
-    hw AS (
+        FROM {name} JOIN tasks USING (k, part) WHERE i < len(ys))"""
+
+
+def _hw_sql(name: str, points: str) -> str:
+    return f"""{name} AS (
         SELECT k, part, a, b, g, 12::BIGINT AS i, m + t * 5.5 AS l, t,
             [ys[j] - m - (j - 6.5) * t for j in range(1, 13)] AS r, 0::DOUBLE AS sse
-        FROM started JOIN tasks USING (k, part), {_axis(SEASONAL_GRID)} p(a), {_axis(SEASONAL_GRID)} q(b),
-             {_axis(SEASONAL_GRID)} s(g)
+        FROM started JOIN tasks USING (k, part) JOIN ({points}) USING (k, part)
         UNION ALL
         SELECT k, part, a, b, g, i + 1, nl, b * (nl - l) + (1 - b) * t,
             r[2:12] || [g * (y - l - t - a * (y - l - t - r[1])) + (1 - g) * r[1]],
             sse + (y - l - t - r[1]) ** 2
-        FROM (SELECT hw.*, ys[i + 1] AS y, a * (ys[i + 1] - r[1]) + (1 - a) * (l + t) AS nl
-              FROM hw JOIN tasks USING (k, part) WHERE i < len(ys))),
+        FROM (SELECT {name}.*, ys[i + 1] AS y, a * (ys[i + 1] - r[1]) + (1 - a) * (l + t) AS nl
+              FROM {name} JOIN tasks USING (k, part) WHERE i < len(ys)))"""
+
+
+MODEL_SQL = f"""{_ses_sql('ses1', _points('a', SES_GRID))},
+    {_ses_sql('ses', _near('a', SES_STEPS, 'ses1'))},
+    {_holt_sql('holt1', _points('ab', HOLT_GRID))},
+    {_holt_sql('holt', _near('ab', HOLT_STEPS, 'holt1'))},
+    started AS (SELECT k, part, list_avg(ys[1:12]) AS m, (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS t
+        FROM tasks WHERE seasonal),
+    {_hw_sql('hw1', _points('abg', SEASONAL_GRID))},
+    {_hw_sql('hw', _near('abg', SEASONAL_STEPS, 'hw1'))},
     best AS (
         SELECT k, part, 'simple-exp-smoothing' AS model, l, 0::DOUBLE AS t, NULL::DOUBLE[] AS r
-        FROM ses JOIN tasks USING (k, part) WHERE i = len(ys)
-        QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY sse, a) = 1
+        FROM ({_winner('a', 'ses')})
         UNION ALL
-        SELECT k, part, 'holt-winters-add', l, t, NULL FROM holt JOIN tasks USING (k, part) WHERE i = len(ys)
-        QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY sse, a, b) = 1
+        SELECT k, part, 'holt-winters-add', l, t, NULL FROM ({_winner('ab', 'holt')})
         UNION ALL
-        SELECT k, part, 'holt-winters-add-add', l, t, r FROM hw JOIN tasks USING (k, part) WHERE i = len(ys)
-        QUALIFY row_number() OVER (PARTITION BY k, part ORDER BY sse, a, b, g) = 1),
+        SELECT k, part, 'holt-winters-add-add', l, t, r FROM ({_winner('abg', 'hw')})),
     filled AS (SELECT * FROM best UNION ALL
         SELECT k, part, 'holt-winters-add-add', l, t, r FROM best JOIN tasks USING (k, part)
         WHERE NOT seasonal AND model = 'holt-winters-add'),

@@ -3,7 +3,9 @@
 Every series is one row holding the array of its period totals, whose length
 is bounded by the calendar.  Smoothing parameters come from a fixed grid: for
 each grid point the recurrence runs over the array, and the point with the
-lowest squared one-step error wins.  Nothing is shuffled after the totals.
+lowest squared one-step error wins; a finer grid around it, which holds the
+point itself and the ends 0 and 1, is searched next.  Nothing is shuffled after
+the totals.
 """
 
 from __future__ import annotations
@@ -22,6 +24,10 @@ from .series import resample_sum
 SES_GRID = tuple(i / 10 for i in range(1, 10))
 HOLT_GRID = tuple(i / 10 for i in range(1, 10))
 SEASONAL_GRID = (0.1, 0.3, 0.5, 0.7, 0.9)
+# Steps of the second search around the winner of the first.
+SES_STEPS = tuple(i / 50 for i in range(-5, 6))
+HOLT_STEPS = (-0.1, -0.05, 0.0, 0.05, 0.1)
+SEASONAL_STEPS = (-0.1, 0.0, 0.1)
 MIN_PERIODS = 4
 
 
@@ -131,6 +137,17 @@ def _grid(**axes: tuple[float, ...]) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), point)
 
 
+def _searched(axes: dict[str, tuple], steps: tuple[float, ...], run) -> Column:
+    """The best state ``run`` gives on the grid, or on a finer one around the grid's winner."""
+
+    def near(best: Column) -> Column:
+        moves = _grid(**dict.fromkeys(axes, steps))
+        points = F.transform(moves, lambda d: F.struct(*[(best[x] + d[x]).alias(x) for x in axes]))
+        return F.array_min(F.transform(points, run))
+
+    return let(F.array_min(F.transform(_grid(**axes), run)), near)
+
+
 def fit_ses(ys: Column) -> Column:
     """Level smoothing, started at the first value."""
     zero = F.lit(0.0)
@@ -152,9 +169,7 @@ def fit_ses(ys: Column) -> Column:
     inputs = F.struct(F.get(ys, F.lit(0)).alias("start"), _rest(ys, 1).alias("rest"))
     return let(
         inputs,
-        lambda i: F.array_min(
-            F.transform(_grid(a=SES_GRID), lambda p: run(p, i["start"], i["rest"]))
-        ),
+        lambda i: _searched({"a": SES_GRID}, SES_STEPS, lambda p: run(p, i["start"], i["rest"])),
     )
 
 
@@ -184,12 +199,8 @@ def fit_holt(ys: Column) -> Column:
     inputs = F.struct(
         second.alias("l"), (second - F.get(ys, F.lit(0))).alias("t"), _rest(ys, 2).alias("rest")
     )
-    return let(
-        inputs,
-        lambda i: F.array_min(
-            F.transform(_grid(a=HOLT_GRID, b=HOLT_GRID), lambda p: run(p, i))
-        ),
-    )
+    axes = {"a": HOLT_GRID, "b": HOLT_GRID}
+    return let(inputs, lambda i: _searched(axes, HOLT_STEPS, lambda p: run(p, i)))
 
 
 def fit_holt_winters(ys: Column, season: int = V.SEASON) -> Column:
@@ -239,10 +250,9 @@ def fit_holt_winters(ys: Column, season: int = V.SEASON) -> Column:
         _mean(F.slice(ys, 1, season)).alias("first"),
         _mean(F.slice(ys, season + 1, season)).alias("second"),
     )
-    grid = _grid(a=SEASONAL_GRID, b=SEASONAL_GRID, g=SEASONAL_GRID)
+    axes = {"a": SEASONAL_GRID, "b": SEASONAL_GRID, "g": SEASONAL_GRID}
     return let(
-        let(means, inputs),
-        lambda i: F.array_min(F.transform(grid, lambda p: run(p, i))),
+        let(means, inputs), lambda i: _searched(axes, SEASONAL_STEPS, lambda p: run(p, i))
     )
 
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import itertools
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,36 +65,53 @@ def test_naive_repeats_the_season_or_the_last_value(spark):
     assert [y for _, y in points(spark, [1, 5, 2, 7], "seasonal-naive")] == [7.0] * 4
 
 
+def ses_run(ys, a):
+    level, sse = ys[0], 0.0
+    for y in ys[1:]:
+        sse += (y - level) ** 2
+        level = a * y + (1 - a) * level
+    return sse, a, level
+
+
+def holt_run(ys, a, b):
+    level, slope, sse = ys[1], ys[1] - ys[0], 0.0
+    for y in ys[2:]:
+        sse += (y - level - slope) ** 2
+        new = a * y + (1 - a) * (level + slope)
+        level, slope = new, b * (new - level) + (1 - b) * slope
+    return sse, a, b, level, slope
+
+
 def brute_ses(ys):
-    best = None
-    for a in forecast.SES_GRID:
-        level, sse = ys[0], 0.0
-        for y in ys[1:]:
-            sse += (y - level) ** 2
-            level = a * y + (1 - a) * level
-        best = min(best, (sse, a, level)) if best else (sse, a, level)
-    return best[2]
+    first = min(ses_run(ys, a) for a in forecast.SES_GRID)
+    return min(ses_run(ys, first[1] + d) for d in forecast.SES_STEPS)
 
 
 def brute_holt(ys):
-    best = None
-    for a, b in itertools.product(forecast.HOLT_GRID, repeat=2):
-        level, slope, sse = ys[1], ys[1] - ys[0], 0.0
-        for y in ys[2:]:
-            sse += (y - level - slope) ** 2
-            new = a * y + (1 - a) * (level + slope)
-            level, slope = new, b * (new - level) + (1 - b) * slope
-        best = min(best, (sse, a, b, level, slope)) if best else (sse, a, b, level, slope)
-    return best[3], best[4]
+    first = min(holt_run(ys, *p) for p in itertools.product(forecast.HOLT_GRID, repeat=2))
+    near = itertools.product(forecast.HOLT_STEPS, repeat=2)
+    return min(holt_run(ys, first[1] + d, first[2] + e) for d, e in near)
 
 
 def test_grid_search_equals_a_plain_loop(spark):
     ys = [float((i * 37) % 23 + i) for i in range(30)]
-    assert points(spark, ys, "simple-exp-smoothing", 1)[0][1] == pytest.approx(brute_ses(ys))
-    level, slope = brute_holt(ys)
+    assert points(spark, ys, "simple-exp-smoothing", 1)[0][1] == pytest.approx(brute_ses(ys)[2])
+    *_, level, slope = brute_holt(ys)
     assert [y for _, y in points(spark, ys, "holt-winters-add", 2)] == pytest.approx([level + slope, level + 2 * slope])
 
 
+def test_the_second_search_never_fits_worse(spark):
+    rng = random.Random(5)
+    made = [[rng.gauss(0, 5) + k * i for i in range(30)] for k in range(4)] + [[100 - 3.0 * i for i in range(30)]]
+    for ys in made:
+        row = spark.createDataFrame([(ys,)], "ys array<double>")
+        ses, holt = row.select(forecast.fit_ses(F.col("ys"))["sse"], forecast.fit_holt(F.col("ys"))["sse"]).first()
+        assert ses <= min(ses_run(ys, a)[0] for a in forecast.SES_GRID) * (1 + 1e-9) + 1e-9
+        assert holt <= min(holt_run(ys, *p)[0] for p in itertools.product(forecast.HOLT_GRID, repeat=2)) * (1 + 1e-9) + 1e-9
+    falling = [2.0**-i for i in range(20)]  # the best weight is 1, an end of the range
+    assert spark.createDataFrame([(falling,)], "ys array<double>").select(forecast.fit_ses(F.col("ys"))["a"]).first()[0] == 1.0
+
+
 def test_short_season_model_is_the_trend_model(spark):
     ys = [float((i * 37) % 23 + i) for i in range(20)]
     assert points(spark, ys, "holt-winters-add-add") == points(spark, ys, "holt-winters-add")
