@@ -16,8 +16,12 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts in no language: null, or without a letter."""
-    found = language.identify(docs, language.fit(docs))
+    """Drop texts in no language: null, or without a letter.
+
+    A predicted language never rejects a text, nor does its score: the stage keeps every
+    language, and with no labelled row to learn from it drops the same texts.
+    """
+    found = language.identify(docs, language.fit(docs), unfitted=language.UNLABELLED)
     return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
 
 

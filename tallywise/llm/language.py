@@ -22,6 +22,7 @@ FILTERS = 16  # of each width
 WINDOW = 128  # bytes
 DEPTH = 8  # size of a byte's vector
 UNKNOWN = "und"
+UNLABELLED = "unlabelled"  # a text with letters where no row has a language to learn from
 PER_LANGUAGE = 512  # labelled texts looked at for each language, at most
 MOST_LANGUAGES = 200
 SLICE = 256  # characters taken from the beginning, the middle and the end of a training text
@@ -174,11 +175,11 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> ByteNet | None:
     return train([t for t, _ in sample], [x for _, x in sample]) if sample else None
 
 
-def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: ByteNet | None, text: str = "text", unfitted: str = UNKNOWN) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the mean probability over all windows.
 
-    A text that is null, empty or without a letter is ``und`` with score 0, as is every text
-    if there is no network.  Equal scores go to the language first in the alphabet.  Rows are
+    A text that is null, empty or without a letter is ``und`` with score 0; if there is no
+    network, all others are ``unfitted`` with score 0.  Equal scores go to the language first in the alphabet.  Rows are
     independent: repeated rows get equal answers, other columns stay (of the same names:
     replaced), an empty table stays empty.  There is no shuffle.
     """
@@ -186,10 +187,10 @@ def identify(docs: DataFrame, net: ByteNet | None, text: str = "text") -> DataFr
 
     def predict(column: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in column:
-            known = [t is not None and net is not None and any(map(str.isalpha, t)) for t in texts]
-            names = np.full(len(texts), UNKNOWN, object)
+            known = np.array([t is not None and any(map(str.isalpha, t)) for t in texts], bool)
+            names = np.where(known, unfitted, UNKNOWN).astype(object)
             scores = np.zeros(len(texts))
-            chosen = [t.encode() for t, k in zip(texts, known, strict=True) if k]
+            chosen = [t.encode() for t, k in zip(texts, known, strict=True) if k] if net is not None else []
             if chosen:
                 windows, counts = windows_of(chosen)
                 held = (windows != 0).sum(axis=1)

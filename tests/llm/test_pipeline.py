@@ -4,6 +4,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import tiktoken
+from pyspark.sql import functions as F
 
 from tallywise.llm import bpe, language, pii
 
@@ -65,3 +66,9 @@ def test_stages(spark, odd_docs, no_docs, data):
             assert made.count() <= docs.count()
 
 
+def test_no_labels_lose_no_text(spark, odd_docs):
+    bare = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language_id(spark, bare, "")
+    wanted = [r.text for r in odd_docs.collect() if r.text is not None and any(map(str.isalpha, r.text))]
+    assert sorted(r.text for r in kept.collect()) == sorted(wanted)
+    assert {r.lang_pred for r in language.identify(bare, None, unfitted="unlabelled").collect()} == {"und", "unlabelled"}
