@@ -6,7 +6,12 @@ every text (windows twice a segment long, each starting one segment after the la
 each run of a segment's length lies in one of them) is a query for all segments whose score
 reaches the threshold.  The largest weights of a passage's words in each block of segments
 are added up, for all passages of a batch at once; a passage that reaches the threshold in no
-block is dropped, and of the others only the blocks that can reach it are scored.
+block is dropped, and of the others only the blocks that can reach it are scored.  Weights
+come from the frequencies and lengths of all segments, however many indexes hold them.
+
+No threshold of BM25 finds all that the overlap accepts: the weight may lie in the changed
+words, and shingles may stand scattered.  So an item is looked at too if the text holds
+enough of its shingles, and its score is the best that a passage reaches.
 
 An item found this way counts if the text holds most of its five-word shingles, and at
 least half of those of its question (the first two thirds) and of its answer (the rest).
@@ -22,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rolling, Words, chunks, small_batches
+from .common import Rolling, Words, chunks, small_batches, stored
 
 SEGMENT = 32  # words
 BLOCK = 8  # segments that share a largest weight
@@ -55,43 +60,84 @@ class Index:
     segment: np.ndarray  # postings, by word, then segment
     weight: np.ndarray
     item_of: np.ndarray  # item of each segment
+    grams: np.ndarray  # sorted distinct shingles
+    gram_filter: np.ndarray
+    gram_first: np.ndarray  # first entry of each shingle in the next two, and the end
+    gram_item: np.ndarray
+    gram_times: np.ndarray  # how often the item holds the shingle
+
+
+@dataclass
+class Totals:
+    """Facts about the segments of all items, of which an index may hold a part."""
+
+    segments: int
+    words: int
+    have: dict[int, int]  # segments that hold a word, by its hash
+
+
+def _segments(own: np.ndarray) -> list[np.ndarray]:
+    """An item's words in segments; a short rest belongs to a segment that reaches back."""
+    starts = range(0, max(1, len(own) - SEGMENT // 2), SEGMENT) if len(own) else ()
+    return [own[max(0, min(at, len(own) - SEGMENT)) :][:SEGMENT] for at in starts]
+
+
+def _flags(hashes: np.ndarray) -> np.ndarray:
+    flags = np.zeros(1 << 20, bool)
+    flags[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    return flags
+
+
+def _known(names: np.ndarray, flags: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``hashes`` of those that are names, and their places among the names."""
+    flagged = np.flatnonzero(flags[(hashes >> np.uint64(44)).astype(np.int64)])
+    spot = np.minimum(np.searchsorted(names, hashes[flagged]), len(names) - 1)
+    same = names[spot] == hashes[flagged]
+    return flagged[same], spot[same]
 
 
-def build(rows: list[tuple[int, str]]) -> Index:
+def build(rows: list[tuple[int, str]], totals: Totals | None = None) -> Index:
+    """An index of the rows, weighted by ``totals``, or by the rows' own if they are all there are."""
     rows = sorted({(i, t) for i, t in rows if i is not None and t})
     words = Words([plain(t) for _, t in rows])
     segments, item_of, shingles = [], [], []
     for k in range(len(rows)):
         own = words.hash[words.first[k] : words.first[k + 1]]
-        for at in range(0, max(1, len(own) - SEGMENT // 2), SEGMENT):
-            # A short rest belongs to a segment that reaches back.
-            low = max(0, min(at, len(own) - SEGMENT))
-            if len(own):
-                segments.append(own[low : low + SEGMENT])
-                item_of.append(k)
+        segments += (mine := _segments(own))
+        item_of += [k] * len(mine)
         shingles.append(_shingles(own))
     counts = [np.unique(s, return_counts=True) for s in segments]
     vocabulary = np.unique(np.concatenate([c[0] for c in counts] or [np.empty(0, np.uint64)]))
     sizes = np.array([len(s) for s in segments], float)
     terms = [np.searchsorted(vocabulary, c[0]) for c in counts]
-    have = np.bincount(np.concatenate(terms or [np.empty(0, np.int64)]), minlength=len(vocabulary))
-    idf = np.log(1 + (len(segments) - have + 0.5) / (have + 0.5))
+    if totals is None:
+        have = np.bincount(np.concatenate(terms or [np.empty(0, np.int64)]), minlength=len(vocabulary))
+        many, mean = len(segments), sizes.mean() if segments else 0.0
+    else:
+        have = np.array([totals.have[w] for w in vocabulary.tolist()], float)
+        many, mean = totals.segments, totals.words / max(totals.segments, 1)
+    idf = np.log(1 + (many - have + 0.5) / (have + 0.5))
     posted = []
     for s, (t, c) in enumerate(zip(terms, counts, strict=True)):
         tf = c[1]
-        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[s] / sizes.mean()))
+        w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[s] / mean))
         posted.append((t, np.full(len(t), s), w / w.sum()))
     term, segment, weight = (np.concatenate(x) for x in zip(*posted, strict=True)) if posted else (np.empty(0, np.int64),) * 3
     order = np.lexsort((segment, term))
     term, segment, weight = term[order], segment[order], weight[order].astype(np.float32)
     block_most = np.zeros((len(vocabulary), -(-len(segments) // BLOCK)), np.float32)
     np.maximum.at(block_most, (term, segment // BLOCK), weight)
-    flags = np.zeros(1 << 20, bool)
-    flags[(vocabulary >> np.uint64(44)).astype(np.int64)] = True
+    each = [np.unique(s, return_counts=True) for s in shingles]
+    gram = np.concatenate([g for g, _ in each] or [np.empty(0, np.uint64)])
+    by_gram = np.argsort(gram, kind="stable")
+    grams, gram_first = np.unique(gram[by_gram], return_index=True)
+    gram_item = np.repeat(np.arange(len(each)), [len(g) for g, _ in each])[by_gram]
+    gram_times = np.concatenate([c for _, c in each] or [np.empty(0, np.int64)])[by_gram]
     return Index(
-        np.array([i for i, _ in rows], np.int64), shingles, vocabulary, flags,
+        np.array([i for i, _ in rows], np.int64), shingles, vocabulary, _flags(vocabulary),
         block_most, np.searchsorted(term, np.arange(len(vocabulary) + 1)),
         segment, weight, np.array(item_of, np.int64),
+        grams, _flags(grams), np.append(gram_first, len(gram)), gram_item, gram_times,
     )
 
 
@@ -107,10 +153,7 @@ def _shingles(words: np.ndarray) -> np.ndarray:
 def candidates(index: Index, words: Words) -> dict[int, dict[int, float]]:
     """For each text number the items that a passage reaches, with the best share of a segment's score."""
     found: dict[int, dict[int, float]] = {}
-    flagged = np.flatnonzero(index.filter[(words.hash >> np.uint64(44)).astype(np.int64)])
-    spot = np.minimum(np.searchsorted(index.vocabulary, words.hash[flagged]), len(index.vocabulary) - 1)
-    same = index.vocabulary[spot] == words.hash[flagged]
-    place, spot = flagged[same], spot[same]
+    place, spot = _known(index.vocabulary, index.filter, words.hash)
     if not len(place):
         return found
     term = np.full(len(words.hash), -1, np.int64)
@@ -159,6 +202,40 @@ def candidates(index: Index, words: Words) -> dict[int, dict[int, float]]:
     return found
 
 
+def sharing(index: Index, words: Words) -> list[tuple[int, int]]:
+    """Pairs of a text number and an item whose shingles the text holds to the wanted share."""
+    at, hashes = words.windows(SHINGLE)
+    place, gram = _known(index.grams, index.gram_filter, hashes)
+    if not len(place):
+        return []
+    text, gram = np.divmod(np.unique(words.doc[at[place]] * len(index.grams) + gram), len(index.grams))
+    many = index.gram_first[gram + 1] - index.gram_first[gram]
+    entry = np.repeat(index.gram_first[gram] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    pair, back = np.unique(np.repeat(text, many) * len(index.items) + index.gram_item[entry], return_inverse=True)
+    held = np.bincount(back, index.gram_times[entry])
+    text, item = np.divmod(pair, len(index.items))
+    wanted = np.array([len(index.shingles[i]) for i in item.tolist()])
+    enough = held / wanted >= OVERLAP
+    return list(zip(text[enough].tolist(), item[enough].tolist(), strict=True))
+
+
+def best_share(index: Index, item: int, own: np.ndarray) -> float:
+    """The largest share of a segment's score that a passage of the text reaches."""
+    best = 0.0
+    for s in np.flatnonzero(index.item_of == item).tolist():
+        posting = np.flatnonzero(index.segment == s)
+        term = np.searchsorted(index.first, posting, "right") - 1
+        names = index.vocabulary[term]
+        spot = np.minimum(np.searchsorted(names, own), len(names) - 1)
+        at = np.flatnonzero(names[spot] == own)
+        there = np.zeros((-(-len(own) // SEGMENT), len(names)), bool)
+        there[at // SEGMENT, spot[at]] = True
+        if len(there) > 1:
+            there = there[:-1] | there[1:]
+        best = max(best, float((there @ index.weight[posting].astype(float)).max()))
+    return min(1.0, best)
+
+
 def verified(index: Index, item: int, own: np.ndarray) -> tuple[float, float, float]:
     """Shares of the item's shingles, of its question's and of its answer's that stand in a text."""
     wanted = index.shingles[item]
@@ -176,7 +253,11 @@ def leaks(index: Index, texts: list[str | None]) -> list[list[dict]]:
         return out
     for low, high in chunks(data):
         words = Words(data[low:high])
-        for k, items in candidates(index, words).items():
+        found = candidates(index, words)
+        for k, item in sharing(index, words):
+            if item not in (mine := found.setdefault(k, {})):
+                mine[item] = best_share(index, item, words.hash[words.first[k] : words.first[k + 1]])
+        for k, items in sorted(found.items()):
             own = words.hash[words.first[k] : words.first[k + 1]]
             for item, score in sorted(items.items()):
                 whole, question, answer = verified(index, item, own)
@@ -198,24 +279,48 @@ def _searcher(index: Index):
     return F.pandas_udf(look, LEAKS)
 
 
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """For each item how many segments hold each word, and in a row without a word their number and length."""
+    for batch in batches:
+        words = Words([plain(t) for t in batch["text"]])
+        out = []
+        for k, part in enumerate(batch["part"]):
+            mine = _segments(words.hash[words.first[k] : words.first[k + 1]])
+            names, held = np.unique(np.concatenate([np.unique(s) for s in mine] or [np.empty(0, np.uint64)]), return_counts=True)
+            out.append(pd.DataFrame({"part": part, "word": pd.array(names.view(np.int64), "Int64"), "segments": held, "words": 0}))
+            whole = {"part": [part], "word": pd.array([None], "Int64"), "segments": [len(mine)], "words": [sum(map(len, mine))]}
+            out.append(pd.DataFrame(whole))
+        yield pd.concat(out)
+
+
 def find(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """``docs`` with ``out``: the items of ``items`` (item_id, text) that each whole text holds.
 
     Null and empty texts and items hold and give nothing; items of fewer than five words are
     left out, since a run so short proves nothing; equal items of one id count once; repeated
     rows get equal answers; other columns stay; either table may be empty.  Items are split
-    by hash into indexes of bounded size, each small enough to go to every task; there is no shuffle of texts.
+    by hash into indexes of bounded size, each small enough to go to every task; scores do not
+    depend on their number.  There is no shuffle of texts.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").alias("text")).dropDuplicates()
     total = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     parts = total // INDEX_BYTES + 1
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)))
+    long_enough = F.udf(lambda t: len(plain(t).split()) >= SHINGLE, "boolean")
+    rows = rows.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).where(long_enough("text"))
+    counted = stored(rows.select("part", "text").mapInPandas(_count, "part long, word long, segments long, words long"), "item-words")
+    sums = counted.where("word is null").agg(F.sum("segments").alias("segments"), F.sum("words").alias("words")).first()
+    of_words = counted.where("word is not null")
+    have = of_words.groupBy("word").agg(F.sum("segments").alias("have"))
+    have = stored(of_words.select("part", "word").distinct().join(have, "word"), "item-word-counts")
     columns = []
     for part in range(parts):
-        mine = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        index = build([(r.item_id, r.text) for r in mine.collect() if len(plain(r.text).split()) >= SHINGLE])
-        columns.append(_searcher(index)(F.col(f"`{text}`")))
+        held = have.where(F.col("part") == part).select("word", "have").collect()
+        totals = Totals(sums.segments or 0, sums.words or 0, {r.word % (1 << 64): r.have for r in held})
+        mine = rows.where(F.col("part") == part).collect()
+        columns.append(_searcher(build([(r.item_id, r.text) for r in mine], totals))(F.col(f"`{text}`")))
     return docs.withColumn(out, F.array_distinct(F.concat(*columns)) if parts > 1 else columns[0])
 
 

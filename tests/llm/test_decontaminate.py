@@ -1,3 +1,5 @@
+import random
+
 from tallywise.llm import decontaminate as d
 
 
@@ -53,3 +55,26 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert d.clean(odd_docs, items).count() == odd_docs.count() - 2
     assert d.clean(odd_docs, items.limit(0)).count() == odd_docs.count()
     assert d.find(no_docs, items).count() == 0
+
+
+def test_changed_edges_and_scores_with_one_and_many_indexes(spark, monkeypatch):
+    rng = random.Random(3)
+    common = [f"common{i}" for i in range(13)]
+    items = [(1, " ".join(["first", *common, "last"]))]
+    items += [(i, " ".join([f"own{i}", *rng.sample(common, 13), f"mine{i}"])) for i in range(2, 300)]
+    changed = [(k, " ".join(["pad"] * k + ["other", *t.split()[1:-1], "another"] + ["end"] * 9)) for k, t in items[:40]]
+    words = items[50][1].split()
+    grams_apart = " ".join(" ".join(["gap", *words[i : i + 5]] + [f"x{j}" for j in range(70)]) for i in range(len(words) - 4))
+    rows = [*changed, (400, grams_apart), (401, items[60][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    table = spark.createDataFrame(items, "item_id long, text string")
+    wanted = brute(rows, items)
+    assert {(k, k) for k, _ in changed} | {(400, 51), (401, 61)} <= wanted
+
+    def scored():
+        return sorted((r.doc_id, x.item_id, x.score, x.question, x.answer) for r in d.find(docs, table).collect() for x in r.leaks)
+
+    one = scored()
+    assert {r[:2] for r in one} == wanted and min(r[2] for r in one) < d.REACH
+    monkeypatch.setattr(d, "INDEX_BYTES", 9000)
+    assert scored() == one
