@@ -296,7 +296,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def find(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leaks") -> DataFrame:
     """``docs`` with ``out``: the items of ``items`` (item_id, text) that each whole text holds.
 
-    Null and empty texts and items hold and give nothing; items of fewer than five words are
+    Null and empty texts and items hold and give nothing; items without an id have no name to
+    report and are left to ``clean``; items of fewer than five words are
     left out, since a run so short proves nothing; equal items of one id count once; repeated
     rows get equal answers; other columns stay; either table may be empty.  Items are split
     by hash into indexes of bounded size, each small enough to go to every task; scores do not
@@ -325,5 +326,6 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", out: str = "leak
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without the rows that hold an item; other rows are left as they are."""
-    return find(docs, items, out="__leaks").where(F.size("__leaks") == 0).drop("__leaks")
+    """``docs`` without the rows that hold an item, one without an id too; other rows are left as they are."""
+    named = items.withColumn("item_id", F.coalesce("item_id", F.lit(0)))  # ids do not matter here
+    return find(docs, named, out="__leaks").where(F.size("__leaks") == 0).drop("__leaks")

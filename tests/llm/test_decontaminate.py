@@ -78,3 +78,11 @@ def test_changed_edges_and_scores_with_one_and_many_indexes(spark, monkeypatch):
     assert {r[:2] for r in one} == wanted and min(r[2] for r in one) < d.REACH
     monkeypatch.setattr(d, "INDEX_BYTES", 9000)
     assert scored() == one
+
+
+def test_clean_drops_what_holds_an_item_without_an_id(spark):
+    item = " ".join(f"term{i}" for i in range(20))
+    docs = spark.createDataFrame([(1, f"so {item} it ends"), (2, "nothing of the kind stands in here")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, item), (0, "some other item of seven words here")], "item_id long, text string")
+    assert [r.doc_id for r in d.clean(docs, items).collect()] == [2]
+    assert pairs(d.find(docs, items)) == set()
