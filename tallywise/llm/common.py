@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
@@ -69,6 +71,7 @@ class Rolling:
 
 
 _BYTE_VALUES = _spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+LONG_WORD = 64  # bytes
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
@@ -92,6 +95,10 @@ class Words:
         self.first = np.searchsorted(self.start, self.offsets)  # first word of each text, and the end
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         self.hash = Rolling(_BYTE_VALUES[data]).slices(self.start, self.end)
+        # Sums modulo 2**64 cannot tell some long words apart (Thue-Morse); those get a digest.
+        for i in np.flatnonzero(self.end - self.start > LONG_WORD).tolist():
+            digest = blake2b(self.buffer[self.start[i] : self.end[i]], digest_size=8).digest()
+            self.hash[i] = int.from_bytes(digest, "little")
 
     def windows(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """First words and hashes of all runs of ``size`` words inside one text."""

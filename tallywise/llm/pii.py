@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,17 +28,38 @@ from pyspark.sql import functions as F
 from .common import small_batches
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-# Fixed rules of the four base kinds.
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
-CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+
+
+class Runs:
+    """Leftmost matches, one after another, of a pattern that opens with a run of marks.
+
+    What follows the run begins with none of its marks, so a match from inside a run exists
+    only where one from its beginning does: only beginnings of runs, and the place where the
+    match before ended, are tried.  With possessive repeats every text takes linear time.
+    """
+
+    def __init__(self, marks: str, rest: str):
+        self.here = re.compile(f"[{marks}]++{rest}")
+        self.next = re.compile(f"(?<![{marks}])[{marks}]++{rest}")
+
+    def finditer(self, text: str) -> Iterator[re.Match]:
+        found = self.next.search(text)
+        while found:
+            yield found
+            found = self.here.match(text, found.end()) or self.next.search(text, found.end())
+
+
+# Fixed rules of the four base kinds; possessive repeats give the same matches without going back.
+EMAIL = Runs(r"A-Za-z0-9._%+-", r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
+IP = Runs(r"0-9", r"(?:\.[0-9]++){3}")
+CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Strict forms a secret is learned from.
 SECRET = re.compile(r"AKIA[A-Z0-9]{16}|(?<=token = \")[0-9a-f]{32,40}(?=\")|(?<=password=)[0-9a-f]{12,20}(?![0-9a-f])")
 
 # Generators: looser than the rules.
 LOOSE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]+)*"),
+    "email": Runs(r"A-Za-z0-9._%+-", r" ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]++(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]++)*+"),
     "ip": re.compile(r"[0-9]{1,4}(?:(?:\.|\[\.\]|\(\.\)|\[dot\])[0-9]{1,4}){2,4}"),
     "card": re.compile(r"[0-9](?:[ .-]?[0-9]){10,20}"),
     "phone": re.compile(r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,16}"),
@@ -121,14 +143,32 @@ def strict(kind: str, span: str) -> str:
     return span
 
 
-def none(text: str, kind: str, start: int, end: int, certain: list[tuple[str, int, int]]) -> float | None:
+class Certain:
+    """Spans that the rules accept; those of one kind never overlap."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.edges: dict[str, tuple[list[int], list[int]]] = {}
+        for kind, start, end in spans:
+            starts, ends = self.edges.setdefault(kind, ([], []))
+            starts.append(start)
+            ends.append(end)
+
+    def other(self, kind: str, start: int, end: int) -> bool:
+        """Does a span of another kind overlap this one?"""
+        for k, (starts, ends) in self.edges.items():
+            last = bisect_left(starts, end) - 1
+            if k != kind and last >= 0 and ends[last] > start:
+                return True
+        return False
+
+
+def none(text: str, kind: str, start: int, end: int, certain: Certain) -> float | None:
     """Weight of a proposal that is surely not of its kind; None if it may be.
 
-    ``certain`` are the spans that the rules accept.  What fails only a check counts as much
-    as would have passed it by chance.
+    What fails only a check counts as much as would have passed it by chance.
     """
     span = strict(kind, text[start:end])
-    if any(s < end and start < e and k != kind for k, s, e in certain):
+    if certain.other(kind, start, end):
         return 1.0
     if kind == "email":
         last = span.rpartition("@")[2].rpartition(".")
@@ -278,9 +318,9 @@ def calibrated(trees: Trees, x: np.ndarray, y: np.ndarray, precision: float = PR
 def _labelled(text: str) -> list[tuple[str, int, int, int, float]]:
     """Proposals that the rules accept (1) or that are surely none (0), with their weights; no others."""
     true = base_spans(text) + [("secret", *m.span()) for m in SECRET.finditer(text)]
-    held, out = set(true), []
+    held, certain, out = set(true), Certain(true), []
     for p in proposals(text):
-        weight = 1.0 if p in held else none(text, *p, true)
+        weight = 1.0 if p in held else none(text, *p, certain)
         if weight is not None:
             out.append((*p, int(p in held), weight))
     return out
@@ -333,7 +373,7 @@ def spans_of(texts: list[str], model: Model) -> list[list[tuple[str, int, int, b
         base = base_spans(text)
         out.append([(*b, True) for b in base])
         known = set(base)
-        certain = base + [("secret", *m.span()) for m in SECRET.finditer(text)]
+        certain = Certain(base + [("secret", *m.span()) for m in SECRET.finditer(text)])
         for p in proposals(text) if model.trees is not None else ():
             if p not in known and none(text, *p, certain) is None:
                 known.add(p)

@@ -71,9 +71,10 @@ def starts(points: np.ndarray, first: np.ndarray) -> np.ndarray:
 class PieceTable:
     """Encodes texts piece by piece; distinct pieces go through ``encode`` once.
 
-    Pieces are known by 64-bit hashes.  The table has a fixed number of places and
-    starts again when its ids exceed a fixed count, so its memory is bounded; both only
-    decide what is encoded again.
+    Pieces are looked up by 64-bit hashes, then compared by their code points; a piece that
+    differs from the one kept under its hash is encoded by itself.  The table has a fixed
+    number of places and starts again when its ids or code points exceed a fixed count, so
+    its memory is bounded; both only decide what is encoded again.
     """
 
     PLACES = 19
@@ -90,6 +91,10 @@ class PieceTable:
         self.where = np.zeros(size, np.int64)
         self.sizes = np.zeros(size, np.int64)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
+        # The code points of the piece in each place.
+        self.text_at = np.zeros(size, np.int64)
+        self.lengths = np.zeros(size, np.int64)
+        self.points, self.points_used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]):
         """For each text in turn, its ids as an array."""
@@ -109,27 +114,59 @@ class PieceTable:
         edges = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         begin = starts(points, edges[:-1][edges[:-1] < len(points)])
         end = np.append(begin[1:], len(points))
+        length = end - begin
         keys = Rolling(_POINTS[points]).slices(begin, end)
         place = (keys >> np.uint64(64 - self.PLACES)).astype(np.int64)
-        where, sizes = self.where[place], self.sizes[place]
+        where, sizes, text_at = self.where[place], self.sizes[place], self.text_at[place]
+        same = self.lengths[place] == length
         missing = np.flatnonzero((self.keys[place] != keys) | (sizes == 0))
         if len(missing):
             new, at, back = np.unique(keys[missing], return_index=True, return_inverse=True)
             at = missing[at]
-            found = self.encode_pieces([joined[s:e] for s, e in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
-            counts = np.fromiter(map(len, found), np.int64, len(found))
-            total = int(counts.sum())
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-            offsets = self.used + np.cumsum(counts) - counts
-            self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
-            self.used += total
+            offsets, counts = self._add(joined, begin[at], end[at])
+            text_offsets = self._keep(points, begin[at], length[at])
             where[missing], sizes[missing] = offsets[back], counts[back]
+            text_at[missing], same[missing] = text_offsets[back], length[at][back] == length[missing]
             slot = (new >> np.uint64(64 - self.PLACES)).astype(np.int64)
             self.keys[slot], self.where[slot], self.sizes[slot] = new, offsets, counts
+            self.text_at[slot], self.lengths[slot] = text_offsets, length[at]
+        # Pieces lie side by side, so one gather sets every piece against the one found for it.
+        kept = np.repeat(np.where(same, text_at, 0) - begin, length) + np.arange(len(points))
+        same &= ~np.logical_or.reduceat(self.points[np.minimum(kept, len(self.points) - 1)] != points, begin)
+        wrong = np.flatnonzero(~same)
+        if len(wrong):
+            where[wrong], sizes[wrong] = self._add(joined, begin[wrong], end[wrong])
         past = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(where - past[:-1], sizes) + np.arange(past[-1])]
         bounds = past[np.searchsorted(begin, edges)]
-        if self.used > self.MOST_IDS:
+        if max(self.used, self.points_used // 4) > self.MOST_IDS:
             self.reset()
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def _add(self, joined: str, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Encode pieces and append their ids: where they lie and how many they are."""
+        found = self.encode_pieces([joined[s:e] for s, e in zip(begin.tolist(), end.tolist(), strict=True)])
+        counts = np.fromiter(map(len, found), np.int64, len(found))
+        total = int(counts.sum())
+        self.flat = _room(self.flat, self.used + total)
+        offsets = self.used + np.cumsum(counts) - counts
+        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.used += total
+        return offsets, counts
+
+    def _keep(self, points: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """Append the code points of pieces: where they lie."""
+        past = np.cumsum(length)
+        total = int(past[-1])
+        self.points = _room(self.points, self.points_used + total)
+        self.points[self.points_used : self.points_used + total] = points[np.repeat(begin - past + length, length) + np.arange(total)]
+        offsets = self.points_used + past - length
+        self.points_used += total
+        return offsets
+
+
+def _room(values: np.ndarray, n: int) -> np.ndarray:
+    """The array, doubled until it holds ``n`` values."""
+    while n > len(values):
+        values = np.concatenate((values, np.zeros_like(values)))
+    return values

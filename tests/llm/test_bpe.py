@@ -50,6 +50,24 @@ def test_hard_pieces(codec, plain, text):
     assert list(PieceTable(codec.encode_pieces).encode([text]))[0].tolist() == plain.encode_ordinary(text)
 
 
+def thue_morse(n, a="a", b="b"):
+    """Two different texts of 2**n letters that every polynomial hash modulo 2**64 confuses once n is large."""
+    x, y = a, b
+    for _ in range(n):
+        x, y = x + y, y + x
+    return x, y
+
+
+@pytest.mark.parametrize("n", [9, 10, 11, 12])
+def test_pieces_of_equal_hash_are_told_apart(codec, plain, n):
+    x, y = thue_morse(n)
+    for texts in ([x, y], [f"{x} {y} {x}", f"{y} {x}"], [y + " b", x]):
+        assert [f.tolist() for f in PieceTable(codec.encode_pieces).encode(texts)] == [plain.encode_ordinary(t) for t in texts]
+    table = PieceTable(codec.encode_pieces)
+    for text in (x, y, x, y):
+        assert next(iter(table.encode([text]))).tolist() == plain.encode_ordinary(text)
+
+
 def test_small_table_gives_the_same(codec, plain, texts):
     table = PieceTable(codec.encode_pieces)
     table.PLACES, table.MOST_IDS, table.POINTS_AT_ONCE = 4, 100, 50

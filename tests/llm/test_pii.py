@@ -1,8 +1,10 @@
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
+import pytest
 
 from tallywise.llm import pii, queries
 
@@ -66,6 +68,38 @@ def test_base_rules_on_random_marks():
         assert pii.base_spans(text) == plain_base(text)
 
 
+LOOSE_EMAIL = r"[A-Za-z0-9._%+-]+ ?(?:@|\[at\]|\(at\)) ?[A-Za-z0-9-]+(?:(?:\.|\[dot\]|\(dot\))[A-Za-z0-9-]+)*"
+
+
+def test_loose_addresses_are_those_of_the_plain_pattern():
+    rng = random.Random(3)
+    parts = ["a", "b_", "@", "@", " ", ".", "[at]", "(at)", "[dot]", "-", "é", "a.b@c.d", "x@y"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(14)))
+        assert [m.span() for m in pii.LOOSE["email"].finditer(text)] == [m.span() for m in re.finditer(LOOSE_EMAIL, text)]
+        assert pii.base_spans(text) == plain_base(text)
+
+
+@pytest.mark.parametrize(
+    "run", ["1", "a", "a1", ".", "-", "+1", "+1 ", "1.", "1-", "1.1.1.1 ", "a@", "a@b.", "@", "a.b@c.de_", "(at)", "a[at]b ", "4111 1111 1111 1111 a@b.cd "]
+)
+def test_long_runs_take_linear_time(run):
+    text = run * (1_000_000 // len(run)) + "@x"
+    began = time.monotonic()
+    pii.base_spans(text)
+    pii.proposals(text)
+    assert time.monotonic() - began < 20
+    short = text[-3000:]
+    assert pii.base_spans(short) == plain_base(short)
+
+
+def test_spans_of_a_long_text_of_many():
+    text = "a@b.cd 10.0.0.1 4111 1111 1111 1111 x 12345678 " * 4000
+    began = time.monotonic()
+    assert len(pii._labelled(text)) >= 12000
+    assert time.monotonic() - began < 30
+
+
 def test_trees_learn():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(600, 4))

@@ -68,6 +68,15 @@ def wanted(rows, tokenizer):
     return out
 
 
+@pytest.mark.parametrize("n", [10, 11])
+def test_pieces_of_equal_hash_are_told_apart(tokenizer, n):
+    x, y = "a", "b"
+    for _ in range(n):
+        x, y = x + y, y + x
+    got = [ids.tolist() for ids in tokenfiles.token_ids([x, y, f"{y} {x}"], PATH)]
+    assert got == [tokenizer.encode(t, add_special_tokens=False).ids for t in (x, y, f"{y} {x}")]
+
+
 def test_documents(spark, data, texts, tokenizer):
     found = queries.QUERIES["op7_tokenfiles"](spark, data).orderBy("start").collect()
     assert [tuple(r) for r in found] == wanted(texts.items(), tokenizer)
