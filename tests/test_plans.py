@@ -143,7 +143,7 @@ def test_plans_stay_in_the_jvm_and_read_few_columns(spark, data):
 
 def test_large_pareto_has_no_window_over_all_groups(spark, data):
     lines = spark.read.parquet(f"{data}/lineitem.parquet")
-    text = plan_of(contribution.pareto(lines, "l_partkey", "l_quantity", small_rows=0))
+    text = plan_of(contribution.pareto(lines, "l_partkey", "l_quantity"))
     windows = [line for line in text.splitlines() if "Window [" in line and "l_partkey" in line]
     assert windows and all("[_range#" in line for line in windows)
 
