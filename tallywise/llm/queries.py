@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, language, licenses, lmscore, pii, repair, substrings, tokenfiles, topk, toxicity
+from . import bpe, decontaminate, jaccard, language, licenses, lmscore, pii, prefixtrie, repair, substrings, tokenfiles, topk, toxicity
 from .common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -125,6 +125,12 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", "leak.*")
 
 
+@query
+def op11_prefixtrie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, ids = prefixtrie.with_shared_heads(prefixtrie.numbered(table(spark, sf_dir, "conversations")))
+    return prefixtrie.trie(turns, ids).drop("node", "parent")
+
+
 @query
 def op12_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fifth = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
