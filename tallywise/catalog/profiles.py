@@ -118,6 +118,25 @@ def date_features(spark, sf):
     return profile.add_date_features(events, ["ts"])[0]
 
 
+@query(
+    "date_features_text",
+    """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS ordered, NULL::TIMESTAMP AS shipped, 'soon' AS due,
+        year(o_orderdate)::INTEGER AS ordered__Year, quarter(o_orderdate)::INTEGER AS ordered__Quarter,
+        month(o_orderdate)::INTEGER AS ordered__Month, strftime(o_orderdate, '%b') AS ordered__MonthName,
+        week(o_orderdate)::INTEGER AS ordered__Week, dayname(o_orderdate) AS ordered__Weekday,
+        strftime(o_orderdate, '%Y-%m') AS ordered__YearMonth FROM orders""",
+)
+def date_features_text(spark, sf):
+    """Day-first text gets its columns; a column without dates, empty or not, gets none."""
+    rows = load(spark, sf, "orders").select(
+        "o_orderkey",
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("ordered"),
+        F.lit(None).cast("timestamp_ntz").alias("shipped"),
+        F.lit("soon").alias("due"),
+    )
+    return profile.add_date_features(rows, ["ordered", "shipped", "due"])[0]
+
+
 MEASURED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 
 

@@ -13,6 +13,7 @@ from ..operators.profile import (
     table_summaries,
     workbook_summary,
 )
+from ..operators.series import resample_sum
 from ..session import scratch_path
 from ..sources import sinks, tables
 from .registry import TABLES, columns_of, load, query, quoted, rounded, union_all
@@ -215,6 +216,64 @@ def parse_dates_forms(spark, sf):
     return load(spark, sf, "orders").select("o_orderkey", text_to_timestamp(written).alias("day"))
 
 
+# How three columns are written: day first; two in three day first, the others month first;
+# with days up to the 12th only, so that nothing tells the two apart.
+_DAY_FIRST = """SELECT o_orderkey, strftime(o_orderdate, '%d/%m/%Y') AS european,
+    CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%m-%d-%Y') ELSE strftime(o_orderdate, '%d-%m-%Y') END AS mixed,
+    CASE WHEN day(o_orderdate) <= 12 THEN strftime(o_orderdate, '%d.%m.%Y') END AS ambiguous,
+    CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%d/%m/%y') ELSE 'open' END AS seldom
+    FROM orders"""
+
+
+def _written_dates(spark, sf):
+    key, day = F.col("o_orderkey"), F.col("o_orderdate")
+    return load(spark, sf, "orders").select(
+        "o_orderkey",
+        F.date_format(day, "dd/MM/yyyy").alias("european"),
+        F.when(key % 3 == 0, F.date_format(day, "MM-dd-yyyy")).otherwise(F.date_format(day, "dd-MM-yyyy")).alias("mixed"),
+        F.when(F.dayofmonth(day) <= 12, F.date_format(day, "dd.MM.yyyy")).alias("ambiguous"),
+        F.when(key % 2 == 0, F.date_format(day, "dd/MM/yy")).otherwise("open").alias("seldom"),
+    )
+
+
+@query(
+    "parse_dates_day_first",
+    f"""SELECT o_orderkey, try_strptime(european, '%d/%m/%Y') AS european, try_strptime(mixed, '%d-%m-%Y') AS mixed,
+        try_strptime(ambiguous, '%m.%d.%Y') AS ambiguous, seldom FROM ({_DAY_FIRST})""",
+)
+def parse_dates_day_first(spark, sf):
+    return cleaning.parse_dates(_written_dates(spark, sf))
+
+
+@query(
+    "date_formats",
+    "WITH written AS (" + _DAY_FIRST + "), counted AS ("
+    + union_all(
+        [
+            f"""SELECT {i}::INTEGER AS ordinal, '{c}' AS "column", count({c}) AS non_null,
+            count(try_strptime({c}, '%m{sep}%d{sep}%{y}')) AS month_first, count(try_strptime({c}, '%d{sep}%m{sep}%{y}')) AS day_first
+            FROM written"""
+            for i, c, sep, y in ((1, "european", "/", "Y"), (2, "mixed", "-", "Y"), (3, "ambiguous", ".", "Y"), (4, "seldom", "/", "y"))
+        ]
+    )
+    + """) SELECT *, CASE WHEN day_first > month_first THEN 'day first' ELSE 'month first' END AS format,
+    round(greatest(day_first, month_first) / non_null, 6) AS share FROM counted""",
+)
+def date_formats(spark, sf):
+    return rounded(cleaning.date_formats(_written_dates(spark, sf)), 6)
+
+
+@query(
+    "trend_day_first",
+    """SELECT date_trunc('month', try_strptime(strftime(o_orderdate, '%d/%m/%Y'), '%d/%m/%Y'))::DATE AS x,
+        round(sum(o_totalprice), 2) AS y FROM orders GROUP BY 1""",
+)
+def trend_day_first(spark, sf):
+    written = load(spark, sf, "orders").select(F.date_format("o_orderdate", "dd/MM/yyyy").alias("day"), "o_totalprice")
+    points = resample_sum(cleaning.parse_dates(written, ["day"]), "day", "o_totalprice", "MS")
+    return points.select("x", F.round("y", 2).alias("y"))
+
+
 @query(
     "numeric_coerce",
     """SELECT o_orderkey, try_cast(t AS DOUBLE) AS price FROM (

@@ -16,20 +16,35 @@ TEMPORAL = (T.DateType, T.TimestampType, T.TimestampNTZType)
 ISO_SHAPE = r"^\s*\d{4}-\d{1,2}-\d{1,2}([ T]\d{1,2}:\d{2}(:\d{2}(\.\d+)?)?)?\s*$"
 DATE_SHAPES = (
     (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
     (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"),
     (r"^\d{1,2}-[A-Za-z]{3}-\d{4}$", "d-MMM-yyyy"),
     (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy"),
     (r"^\d{8}$", "yyyyMMdd"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
     (r"^\d{4}\.\d{1,2}\.\d{1,2}$", "yyyy.M.d"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
     (r"^[A-Za-z]{4,9} \d{1,2}, \d{4}$", "MMMM d, yyyy"),
     (r"^\d{1,2} [A-Za-z]{4,9} \d{4}$", "d MMMM yyyy"),
     (r"^[A-Za-z]{3} \d{4}$", "MMM yyyy"),
     (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"),
     (r"^\d{4}-\d{1,2}$", "yyyy-M"),
 )
+# Forms that tell day and month apart by their place only, month first and day first.
+# A column is read in one of the two ways throughout.
+MONTH_FIRST = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "M.d.yy"),
+)
+DAY_FIRST = (
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
+    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
+    (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
+    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "d.M.yy"),
+)
 # The same date forms may be followed by a time of day.
 TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?: ?([AaPp])[Mm])?$"
 # ISO with an offset, which is turned to UTC.
@@ -102,11 +117,41 @@ def digits_to_long(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
 
 
-def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SHAPES) -> Column:
-    """Text to a zone-free timestamp by a fixed list of formats, null if none fits."""
+def _day_text(trimmed: Column) -> Column:
+    """The text of the day, without a time of day behind it."""
+    return F.when(trimmed.rlike(TIME_SHAPE), F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
+
+
+def _read_day(text: Column, shapes: Iterable[tuple[str, str]]) -> Column:
+    """The date of the first shape that the text has, null if it is none."""
+    (shape, pattern), *others = shapes
+    day = F.when(text.rlike(shape), F.try_to_date(text, pattern))
+    for shape, pattern in others:
+        day = day.when(text.rlike(shape), F.try_to_date(text, pattern))
+    return day
+
+
+def placed_dates(value: Column) -> Column:
+    """Whether a text told apart by place only is a date: a struct (month_first, day_first) of flags."""
+
+    def flags(text: Column) -> Column:
+        return F.struct(
+            _read_day(text, MONTH_FIRST).isNotNull().alias("month_first"),
+            _read_day(text, DAY_FIRST).isNotNull().alias("day_first"),
+        )
+
+    return let(_day_text(F.trim(value)), flags)
+
+
+def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
+    """Text to a zone-free timestamp by a fixed list of formats, null if none fits.
+
+    ``day_first`` is how dates like 3/4/2024 are read; ``cleaning.date_orders`` finds it out
+    for a whole column.
+    """
     trimmed = F.trim(value)
     timed = trimmed.rlike(TIME_SHAPE)
-    day_text = F.when(timed, F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
+    day_text = _day_text(trimmed)
     clock = F.regexp_extract(trimmed, TIME_SHAPE, 2)
     half = F.lower(F.regexp_extract(trimmed, TIME_SHAPE, 3))
     hour = F.substring_index(clock, ":", 1).try_cast("int")
@@ -114,13 +159,10 @@ def text_to_timestamp(value: Column, shapes: Iterable[tuple[str, str]] = DATE_SH
     later = F.concat(F.lpad(of_day, 2, "0"), F.regexp_extract(clock, r"^\d+(:.*)$", 1))
     clock = F.when(half == "", clock).when(hour.between(1, 12), later)
     time_text = F.when(timed, clock).otherwise("00:00:00")
-    shapes = list(shapes)
 
     def parsed(text: Column) -> Column:
         # Dates know no time zone; the time of day is put back by an ISO cast.
-        day = F.when(text["day"].rlike(shapes[0][0]), F.try_to_date(text["day"], shapes[0][1]))
-        for shape, pattern in shapes[1:]:
-            day = day.when(text["day"].rlike(shape), F.try_to_date(text["day"], pattern))
+        day = _read_day(text["day"], (DAY_FIRST if day_first else MONTH_FIRST) + DATE_SHAPES)
         return F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), text["time"]))
 
     other = let(F.struct(day_text.alias("day"), time_text.alias("time")), parsed)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.coerce import is_text, name_of, nan_to_null, number, text_to_timestamp
+from ..functions.coerce import is_text, name_of, nan_to_null, number, placed_dates, text_to_timestamp
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -23,33 +23,83 @@ def drop_empty_rows(df: DataFrame) -> DataFrame:
     return df.na.drop("all")
 
 
-def date_text_columns(df: DataFrame, share: float = V.DATE_PARSE_SHARE) -> list[str]:
-    """Text columns of which at least ``share`` of the non-null values are dates.
+def date_formats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """How the dates of each text column are written: one row per column.
 
-    One aggregation over all text columns; a single row comes back.
+    (ordinal, column, non_null, month_first, day_first, format, share): how many values are
+    dates if 3/4/2024 is read month first, and if day first; the reading that fits more
+    values is the column's, month first where both fit as many, and ``share`` is its part of
+    the non-null values (null without any).  One aggregation over all columns; only dates
+    told apart by place alone are parsed twice.
     """
-    text = [f.name for f in df.schema.fields if is_text(f.dataType)]
-    if not text:
-        return []
-    shares = df.agg(
-        *[
-            F.try_divide(F.count(text_to_timestamp(name_of(c))), F.count(name_of(c))).alias(f"s{i}")
-            for i, c in enumerate(text)
-        ]
-    ).first()
-    return [c for i, c in enumerate(text) if shares[i] is not None and shares[i] >= share]
+    fields = []
+    for i, field in enumerate(df.schema.fields):
+        if not is_text(field.dataType) or columns is not None and field.name not in columns:
+            continue
+        value = name_of(field.name)
+        placed = placed_dates(value)
+        fields.append(
+            F.struct(
+                F.lit(i).alias("ordinal"),
+                F.lit(field.name).alias("column"),
+                F.count(value).alias("non_null"),
+                F.count(text_to_timestamp(value)).alias("month_first"),
+                F.count_if(placed["month_first"] & ~placed["day_first"]).alias("_only_month"),
+                F.count_if(placed["day_first"] & ~placed["month_first"]).alias("_only_day"),
+            )
+        )
+    if not fields:
+        return df.sparkSession.createDataFrame([], DATE_FORMATS)
+    counts = df.agg(F.array(*fields).alias("counts"))
+    found = counts.select(F.inline("counts"))
+    day_first = F.col("month_first") - F.col("_only_month") + F.col("_only_day")
+    return found.withColumn("day_first", day_first).select(
+        "ordinal",
+        "column",
+        "non_null",
+        "month_first",
+        "day_first",
+        F.when(F.col("day_first") > F.col("month_first"), "day first").otherwise("month first").alias("format"),
+        F.try_divide(F.greatest("month_first", "day_first"), F.col("non_null")).alias("share"),
+    )
+
+
+DATE_FORMATS = (
+    "ordinal int, column string, non_null bigint, month_first bigint, day_first bigint, format string, share double"
+)
+
+
+def date_orders(df: DataFrame, columns: list[str] | None = None, share: float = V.DATE_PARSE_SHARE) -> dict[str, bool]:
+    """Text columns of which at least ``share`` of the non-null values are dates, and whether day first.
+
+    One row per text column comes back.
+    """
+    found = date_formats(df, columns).where(F.col("share") >= share).collect()
+    return {r["column"]: r["format"] == "day first" for r in sorted(found, key=lambda r: r["ordinal"])}
+
+
+def date_text_columns(df: DataFrame, share: float = V.DATE_PARSE_SHARE) -> list[str]:
+    """Text columns of which at least ``share`` of the non-null values are dates."""
+    return list(date_orders(df, share=share))
 
 
 def parse_dates(
     df: DataFrame, columns: list[str] | None = None, share: float = V.DATE_PARSE_SHARE
 ) -> DataFrame:
-    """Turn text columns that mostly hold dates into timestamps; the rest of them is null."""
-    chosen = set(date_text_columns(df, share) if columns is None else columns)
+    """Turn text columns that mostly hold dates into timestamps; the rest of them is null.
+
+    Each column is read day first or month first throughout, whichever fits more of its
+    values.  Named ``columns`` are all turned, whatever their share.
+    """
+    if columns is None:
+        chosen = date_orders(df, share=share)
+    else:
+        chosen = dict.fromkeys(columns, False) | date_orders(df, columns, 0.0)
     if not chosen:
         return df
     return df.select(
         *[
-            text_to_timestamp(name_of(c)).alias(c) if c in chosen else name_of(c)
+            text_to_timestamp(name_of(c), chosen[c]).alias(c) if c in chosen else name_of(c)
             for c in df.columns
         ]
     )

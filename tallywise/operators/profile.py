@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions import vocabulary as V
 from ..functions.coerce import is_numeric, is_temporal, is_text, name_of, number, text_to_timestamp
+from .cleaning import date_orders
 from .quantiles import exact_quantiles
 
 FEATURES = ("Year", "Quarter", "Month", "MonthName", "Week", "Weekday", "YearMonth")
@@ -153,17 +154,25 @@ def column_profile(
 
 
 def add_date_features(df: DataFrame, date_cols: list[str]) -> tuple[DataFrame, list[str]]:
-    """Seven calendar columns per date column; names that exist are left alone."""
+    """Seven calendar columns per date column; names that exist are left alone.
+
+    Columns without a single date get none: one aggregation looks for a value in each, and
+    another one finds out how text columns are written.
+    """
+    date_cols = [c for c in dict.fromkeys(date_cols) if c in df.columns]
+    orders = date_orders(df, [c for c in date_cols if is_text(df.schema[c].dataType)], 0.0)
+    values = {
+        c: text_to_timestamp(name_of(c), orders.get(c, False)) if is_text(df.schema[c].dataType) else name_of(c)
+        for c in date_cols
+    }
+    filled = df.agg(*[F.max(v.isNotNull()).alias(f"f{i}") for i, v in enumerate(values.values())]).first() if values else ()
     made: list[str] = []
     columns: list[Column] = []
-    for column in date_cols:
-        if column not in df.columns:
+    for (column, value), any_date in zip(values.items(), filled):
+        if not any_date:
             continue
-        value = name_of(column)
-        if is_text(df.schema[column].dataType):
-            value = text_to_timestamp(value)
         day = value.cast("date")
-        values = (
+        calendar = (
             F.year(day),
             F.quarter(day),
             F.month(day),
@@ -172,7 +181,7 @@ def add_date_features(df: DataFrame, date_cols: list[str]) -> tuple[DataFrame, l
             F.date_format(day, "EEEE"),
             F.date_format(day, "yyyy-MM"),
         )
-        for feature, expression in zip(FEATURES, values):
+        for feature, expression in zip(FEATURES, calendar):
             name = f"{column}__{feature}"
             if name not in df.columns and name not in made:
                 made.append(name)

@@ -75,6 +75,38 @@ def test_date_formats(spark):
     assert days == [day("2024-01-05")] * 10 + [None] * 3
 
 
+@pytest.mark.parametrize("texts, order, days", [
+    (["13/01/2024", "02/01/2024", "01/13/2024", "14.2.24"], "day first", ["2024-01-13", "2024-01-02", None, "2024-02-14"]),
+    (["01/13/2024", "02-01-24 10:30 PM", "13.01.2024", "1.20.2024"], "month first", ["2024-01-13", "2024-02-01", None, "2024-01-20"]),
+    (["01/02/2024", "2024-03-04", "junk"], "month first", ["2024-01-02", "2024-03-04", None]),
+    (["13/13/2024", "30-02-2024", None, "2024-03-04"], "month first", [None, None, None, "2024-03-04"]),
+    (["13/01/2024 08:15", "5 Jan 2024", "1/2/2024 11:00 am"], "day first", ["2024-01-13", "2024-01-05", "2024-02-01"]),
+])
+def test_a_column_is_read_in_one_order(spark, texts, order, days):
+    df = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, s string, `t.t` string")
+    found = cleaning.date_formats(df).orderBy("ordinal").collect()
+    assert [(r["column"], r["format"]) for r in found] == [("s", order), ("t.t", order)]
+    assert found[0]["share"] == sum(d is not None for d in days) / len([t for t in texts if t is not None])
+    made = cleaning.parse_dates(df, ["s", "t.t"]).orderBy("i").collect()
+    for column in (1, 2):
+        assert [r[column].date() if r[column] else None for r in made] == [d and day(d) for d in days]
+
+
+def test_formats_take_one_scan_and_stay_in_the_engine(spark, data):
+    orders = spark.read.parquet(f"{data}/orders.parquet")
+    plan = cleaning.date_formats(orders)._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("FileScan") == 1 and "Python" not in plan
+    assert cleaning.date_formats(orders.select("o_orderkey")).count() == 0
+    assert cleaning.date_formats(orders.limit(0)).where("non_null > 0 or share is not null").count() == 0
+
+
+def test_no_date_no_calendar_columns(spark):
+    df = spark.createDataFrame([(None, "x", "31/12/2024", None)], "d date, t string, u string, v string")
+    out, made = profile.add_date_features(df, ["d", "t", "u", "v", "u"])
+    assert [m for m in made if not m.startswith("u__")] == [] and len(made) == 7
+    assert out.first()["u__Month"] == 12
+
+
 def test_number_text(spark):
     df = spark.createDataFrame(
         [(t,) for t in ("1.5", " 2 ", "-3e2", "x", "", "NaN", "1d", "2.5f", None)], "s string"
