@@ -1,6 +1,6 @@
 """All registered queries; importing the package fills the registry."""
 
-from . import findings, groups, profiles, questions, series, sources  # noqa: F401
+from . import findings, groups, profiles, questions, series, sources, starts  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

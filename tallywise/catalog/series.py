@@ -183,15 +183,18 @@ def _hw_sql(name: str, points: str) -> str:
               FROM {name} JOIN tasks USING (k, part) WHERE i < len(ys)))"""
 
 
-MODEL_SQL = f"""{_ses_sql('ses1', _points('a', SES_GRID))},
+STARTED_SQL = """started AS (SELECT k, part, list_avg(ys[1:12]) AS m,
+        (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS t FROM tasks WHERE seasonal)"""
+
+FIRST_SQL = f"""{_ses_sql('ses1', _points('a', SES_GRID))},
     {_ses_sql('ses', _near('a', SES_STEPS, 'ses1'))},
     {_holt_sql('holt1', _points('ab', HOLT_GRID))},
     {_holt_sql('holt', _near('ab', HOLT_STEPS, 'holt1'))},
-    started AS (SELECT k, part, list_avg(ys[1:12]) AS m, (list_avg(ys[13:24]) - list_avg(ys[1:12])) / 12 AS t
-        FROM tasks WHERE seasonal),
+    {STARTED_SQL},
     {_hw_sql('hw1', _points('abg', SEASONAL_GRID))},
-    {_hw_sql('hw', _near('abg', SEASONAL_STEPS, 'hw1'))},
-    best AS (
+    {_hw_sql('hw', _near('abg', SEASONAL_STEPS, 'hw1'))}"""
+
+CHOICE_SQL = f"""best AS (
         SELECT k, part, 'simple-exp-smoothing' AS model, l, 0::DOUBLE AS t, NULL::DOUBLE[] AS r
         FROM ({_winner('a', 'ses')})
         UNION ALL
@@ -228,7 +231,7 @@ MODEL_SQL = f"""{_ses_sql('ses1', _points('a', SES_GRID))},
     rated AS (SELECT k, model, mae, mape, coalesce(mape, abs(mae / nullif(m, 0)) * 100) AS e
         FROM chosen JOIN (SELECT k, avg(y) AS m FROM pts GROUP BY k) USING (k))"""
 
-FULL_SQL = f"WITH RECURSIVE {BASE_SQL}, {MODEL_SQL}"
+FULL_SQL = f"WITH RECURSIVE {BASE_SQL}, {FIRST_SQL}, {CHOICE_SQL}"
 
 
 def _series(spark, sf):

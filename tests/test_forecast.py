@@ -4,6 +4,7 @@ import datetime as dt
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -112,6 +113,74 @@ def test_the_second_search_never_fits_worse(spark):
     assert spark.createDataFrame([(falling,)], "ys array<double>").select(forecast.fit_ses(F.col("ys"))["a"]).first()[0] == 1.0
 
 
+def errors_from(ys, a, b, g, x, season=0):
+    """One-step errors and the last state of the smoothing that begins at the state x."""
+    level, slope, errors = x[0], x[1], []
+    ring = [*x[2:], -sum(x[2:])] if season else [0.0]
+    for y in ys:
+        miss = y - level - slope - ring[0]
+        errors.append(miss)
+        level, slope = level + slope + a * miss, slope + a * b * miss
+        ring = [*ring[1:], ring[0] + g * (1 - a) * miss]
+    return np.array(errors), level, slope, ring
+
+
+def least(ys, a, b, g, unknowns, season=0):
+    """Least squared error over all start states, and the last state from the best one."""
+    none = errors_from(ys, a, b, g, np.zeros(max(unknowns, 2)), season)[0]
+    units = np.eye(max(unknowns, 2))[:unknowns]
+    effect = np.stack([none - errors_from(ys, a, b, g, u, season)[0] for u in units], axis=1)
+    x = np.zeros(max(unknowns, 2))
+    x[:unknowns] = np.linalg.lstsq(effect, none, rcond=None)[0]
+    errors, level, slope, _ = errors_from(ys, a, b, g, x, season)
+    return float((errors**2).sum()), a, b, level, slope
+
+
+def made_series():
+    rng = random.Random(11)
+    seasonal = [[rng.gauss(0, 4) + k * i + 3 * SEASON[i % 12] for i in range(26 + 7 * k)] for k in range(3)]
+    return seasonal + [[50 + 2.0 * i + SEASON[i % 12] for i in range(36)], [1e9 + 3.0 * i for i in range(30)], [7.0] * 25]
+
+
+def test_estimated_starts_are_the_least_squares_ones(spark):
+    for ys in made_series():
+        row = spark.createDataFrame([(ys,)], "ys array<double>")
+        ses, holt = row.select(forecast.fit_ses(F.col("ys"), "estimated"), forecast.fit_holt(F.col("ys"), "estimated")).first()
+        first = min(least(ys, a, 0.0, 0.0, 1) for a in forecast.SES_GRID)
+        assert ses["sse"] <= first[0] * (1 + 1e-6) + 1e-6
+        want = least(ys, ses["a"], 0.0, 0.0, 1)
+        assert (ses["sse"], ses["level"]) == (pytest.approx(want[0], rel=1e-6, abs=1e-4), pytest.approx(want[3]))
+        first = min(least(ys, *p, 0.0, 2) for p in itertools.product(forecast.HOLT_GRID, repeat=2))
+        assert holt["sse"] <= first[0] * (1 + 1e-6) + 1e-4
+        want = least(ys, holt["a"], holt["b"], 0.0, 2)
+        assert holt["sse"] == pytest.approx(want[0], rel=1e-6, abs=1e-3)
+        assert (holt["level"], holt["trend"]) == (pytest.approx(want[3]), pytest.approx(want[4], abs=1e-6))
+
+
+def test_estimated_starts_never_fit_worse(spark):
+    rows = [(i, ys) for i, ys in enumerate(made_series())]
+    df = spark.createDataFrame(rows, "i int, ys array<double>")
+    for fit in (forecast.fit_ses, forecast.fit_holt, forecast.fit_holt_winters):
+        fitted = df.select("i", fit(F.col("ys")).alias("first"), fit(F.col("ys"), start="estimated").alias("estimated")).collect()
+        assert all(r["estimated"]["sse"] <= r["first"]["sse"] * (1 + 1e-9) + 1e-9 for r in fitted)
+        if fit is not forecast.fit_holt_winters:
+            continue
+        for r in fitted:
+            s, ys = r["estimated"], rows[r["i"]][1]
+            assert all(0 <= s[x] <= 1 for x in "abg")
+            # Two rounds leave little between the start found and the best one for the parameters.
+            assert s["sse"] <= least(ys, s["a"], s["b"], s["g"], 13, 12)[0] * 1.02 + 1e-6
+        assert any(r["estimated"]["sse"] < 0.8 * r["first"]["sse"] for r in fitted)
+
+
+def test_estimated_starts_of_short_and_unknown(spark):
+    assert [y for _, y in points(spark, [10 + 3 * i for i in range(4)], "holt-winters-add")] == pytest.approx([22, 25, 28, 31])
+    short = forecast.model_points(series(spark, [10 + 3 * i for i in range(4)]), "holt-winters-add-add", 2, start="estimated")
+    assert sorted(r["y"] for r in short.collect()) == pytest.approx([22, 25])
+    with pytest.raises(ValueError):
+        forecast.fit_ses(F.col("ys"), "guessed")
+
+
 def test_short_season_model_is_the_trend_model(spark):
     ys = [float((i * 37) % 23 + i) for i in range(20)]
     assert points(spark, ys, "holt-winters-add-add") == points(spark, ys, "holt-winters-add")
