@@ -125,6 +125,20 @@ def guarded_select_with(spark, sf):
     return tables.guarded_select(spark, WITH_TEXT, limit=50)
 
 
+NESTED_TEXT = """WITH ranked AS (
+    SELECT o_custkey, o_totalprice, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS place
+    FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE upper(c_mktsegment) = 'BUILDING'))
+    SELECT o_custkey, count(*) AS orders, max(CASE WHEN place = 1 THEN o_totalprice END) AS best
+    FROM ranked GROUP BY o_custkey HAVING count(*) > 1 ORDER BY o_custkey"""
+
+
+@query("guarded_select_nested", NESTED_TEXT + " LIMIT 10000")
+def guarded_select_nested(spark, sf):
+    for name in ("orders", "customer"):
+        load(spark, sf, name).createOrReplaceTempView(name)
+    return tables.guarded_select(spark, NESTED_TEXT, limit=10_000, tables=["orders", "customer"])
+
+
 @query(
     "json_rows",
     """SELECT '{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus

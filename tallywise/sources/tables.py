@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.coerce import name_of
 from ..operators.cleaning import clean_headers
 from ..operators.profile import column_counts
+from . import guard
 
 # Databases, their default ports and the URL each driver expects.
 DATABASES = {
@@ -149,10 +150,14 @@ def schema_listing(tables: dict[str, DataFrame], keys: bool = False) -> DataFram
     return parts
 
 
-def guarded_select(spark: SparkSession, sql: str, limit: int = RESULT_ROWS) -> DataFrame:
+def guarded_select(
+    spark: SparkSession, sql: str, limit: int = RESULT_ROWS, tables: list[str] | None = None, functions: list[str] = ()
+) -> DataFrame:
     """Run one SELECT (or WITH) over the session's views, always capped.
 
-    Anything else is refused; so is a second statement.
+    Anything else is refused, as are a second statement, files named by their path,
+    functions that reach outside the rows and unknown ones.  ``tables`` narrows what may be
+    read, ``functions`` adds functions of the session.
     """
     if not 1 <= limit <= RESULT_MAX:
         raise ValueError(f"limit must be between 1 and {RESULT_MAX}")
@@ -160,5 +165,6 @@ def guarded_select(spark: SparkSession, sql: str, limit: int = RESULT_ROWS) -> D
     if not re.match(r"(?i)(select|with)\b", text):
         raise ValueError("only SELECT queries are allowed")
     # Spark also writes from a statement that opens with WITH; a view cannot.
+    guard.check(spark, text, tables, functions)
     df = spark.sql(f"SELECT * FROM (\n{text}\n)")
     return df.limit(limit)

@@ -483,6 +483,45 @@ def test_guarded_select_is_capped(spark):
     assert tables.guarded_select(spark, "WITH a AS (SELECT id FROM fifty) SELECT * FROM a").count() == 50
 
 
+@pytest.mark.parametrize("text", [
+    "SELECT java_method('java.lang.System', 'getProperty', 'user.home')",
+    "SELECT id FROM fifty WHERE reflect('java.lang.System', 'getProperty', 'user.home') <> ''",
+    "SELECT (SELECT max(try_reflect('java.lang.System', 'getProperty', 'a')) FROM fifty) FROM fifty",
+    "SELECT * FROM text.`/etc/hostname`",
+    "SELECT * FROM (SELECT * FROM parquet.`/tmp/x`) t JOIN fifty",
+    "WITH a AS (SELECT * FROM csv.`/etc/passwd`) SELECT * FROM a",
+    "SELECT input_file_name() FROM fifty",
+    "SELECT TRANSFORM(id) USING 'cat' AS (x) FROM fifty",
+    "SELECT * FROM not_there",
+    "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+    "SELECT '${spark.app.name}'",
+    "SELECT own_function(id) FROM fifty",
+    "WITH a AS (SELECT 1 AS id) INSERT INTO fifty SELECT * FROM a",
+    "SELECT * FROM read_files('/etc')",
+])
+def test_guard_refuses_what_leaves_the_rows(spark, text):
+    spark.range(50).createOrReplaceTempView("fifty")
+    spark.udf.register("own_function", lambda x: x)
+    with pytest.raises(ValueError):
+        tables.guarded_select(spark, text)
+
+
+def test_guard_lets_queries_pass(spark):
+    spark.range(50).createOrReplaceTempView("fifty")
+    for text in (
+        "SELECT f.id, explode(sequence(1, 2)) AS n FROM fifty f LATERAL VIEW explode(array(1)) e AS x",
+        "SELECT transform(collect_list(id), x -> x + 1) AS v FROM (VALUES (1), (2)) AS t(id)",
+        "WITH A AS (SELECT id FROM fifty) (SELECT id FROM a UNION SELECT id FROM range(9)) EXCEPT SELECT 3",
+        "SELECT sum(id) OVER (ORDER BY id) FROM fifty",
+        "SELECT * FROM (SELECT id, id % 2 AS k FROM fifty) PIVOT (sum(id) FOR k IN (0, 1))",
+    ):
+        tables.guarded_select(spark, text).collect()
+    with pytest.raises(ValueError):
+        tables.guarded_select(spark, "SELECT * FROM fifty", tables=["other"])
+    spark.udf.register("own_function", lambda x: x)
+    assert tables.guarded_select(spark, "SELECT own_function(id) FROM fifty", tables=["FIFTY"], functions=["own_function"]).count() == 50
+
+
 def test_json_keeps_nulls(spark):
     df = spark.createDataFrame([(1, NAN, dt.datetime(2024, 1, 2, 3, 4, 5))], "a int, b double, c timestamp_ntz")
     assert sinks.json_rows(df).first()["json"] == '{"a":1,"b":null,"c":"2024-01-02T03:04:05"}'
