@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.coerce import moment, name_of, number
+from .distinct import distinct_values
 from .quantiles import exact_quantiles
 
 NUMERIC_FUNCTIONS = ("sum", "mean", "median", "std", "var")
@@ -65,22 +64,26 @@ def _aggregate(func: str) -> Column:
 def distinct_counts(
     df: DataFrame, columns: list[str] | None = None, approximate: bool = False
 ) -> DataFrame:
-    """Distinct non-null values per column: (ordinal, column, distinct_count)."""
+    """Distinct non-null values per column: (ordinal, column, distinct_count).
+
+    Exact counts read all whole-number columns in one scan and the columns of each other
+    type in one; ``approximate`` uses sketches, one scan for all.
+    """
     columns = columns or df.columns
-    count = F.approx_count_distinct if approximate else F.count_distinct
     fields = [
         F.struct(
             F.lit(i).alias("ordinal"),
             F.lit(c).alias("column"),
-            count(name_of(c)).alias("distinct_count"),
-        ).alias(f"c{i}")
+            (F.approx_count_distinct(name_of(c)) if approximate else F.lit(0).cast("bigint")).alias("distinct_count"),
+        )
         for i, c in enumerate(columns)
     ]
     if approximate:
-        wide = df.agg(*fields)
-        return wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))])))
-    # Each column on its own: one pass over all would copy every row per column.
-    return reduce(DataFrame.union, [df.agg(f.alias("c")).select("c.*") for f in fields])
+        return df.agg(F.array(*fields).alias("f")).select(F.inline("f"))
+    # One row per column: the schema bounds it.
+    listed = df.sparkSession.range(1).select(F.inline(F.array(*fields))).drop("distinct_count")
+    count = F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count")
+    return listed.join(distinct_values(df, columns), "ordinal", "left").select("ordinal", "column", count)
 
 
 def drill_time(df: DataFrame, date_col: str, measure: str) -> DataFrame:

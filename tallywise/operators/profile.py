@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from pyspark.sql import types as T
 from ..functions import vocabulary as V
 from ..functions.coerce import is_numeric, is_temporal, is_text, name_of, number, text_to_timestamp
 from .cleaning import date_orders
+from .distinct import distinct_values
 from .quantiles import exact_quantiles
 
 FEATURES = ("Year", "Quarter", "Month", "MonthName", "Week", "Weekday", "YearMonth")
@@ -45,9 +45,9 @@ def column_counts(
     """Row per column: ordinal, column, dtype, family, row_count, non_null, unique_count, valid_dates.
 
     ``valid_dates`` is counted only for text columns whose name speaks of a
-    date.  Exact counts take one aggregation per column, each reading only its
-    own column: counting all distinct values in one pass would copy every row
-    once per column.  ``approximate`` uses sketches in a single pass.
+    date.  All but the distinct values come from one scan; exact distinct
+    counts take one more for all whole-number columns and one for each other
+    type.  ``approximate`` uses sketches in the same single scan.
     """
     fields = []
     for i, field in enumerate(df.schema.fields):
@@ -55,7 +55,7 @@ def column_counts(
         named_date = is_text(field.dataType) and any(
             w in field.name.lower() for w in V.DATE_NAME.split("|")
         )
-        distinct = F.approx_count_distinct if approximate else F.count_distinct
+        distinct = F.approx_count_distinct(value) if approximate else F.lit(0).cast("bigint")
         fields.append(
             F.struct(
                 F.lit(i).alias("ordinal"),
@@ -65,17 +65,21 @@ def column_counts(
                 F.lit(field.name in engineered).alias("engineered"),
                 F.count(F.lit(1)).alias("row_count"),
                 F.count(value).alias("non_null"),
-                distinct(value).alias("unique_count"),
+                distinct.alias("unique_count"),
                 (F.count(text_to_timestamp(value)) if named_date else F.lit(None).cast("bigint")).alias(
                     "valid_dates"
                 ),
-            ).alias(f"c{i}")
+            )
         )
+    counts = df.agg(F.array(*fields).alias("f")).select(F.inline("f"))
     if approximate:
-        wide = df.agg(*fields)
-        return wide.select(F.inline(F.array(*[f"c{i}" for i in range(len(fields))])))
-    return reduce(
-        DataFrame.union, [df.agg(f.alias("c")).select("c.*") for f in fields]
+        return counts
+    found = distinct_values(df, df.columns)
+    # One row per column on either side.
+    return counts.join(F.broadcast(found), "ordinal", "left").select(
+        *[c for c in counts.columns if c not in ("unique_count", "valid_dates")],
+        F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("unique_count"),
+        "valid_dates",
     )
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tallywise.functions.coerce import text_to_number, text_to_timestamp
 from tallywise.functions.calendar import period
 from tallywise.operators import (
+    distinct,
     aggregate,
     cleaning,
     contribution,
@@ -338,6 +339,39 @@ def test_aggregate_all_null_group(spark):
         aggregate.aggregate_by(df, "k", "v", "last")
 
 
+def test_distinct_counts_of_all_kinds(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(3000):
+        rows.append((
+            rng.choice([None, -(2**63), 2**63 - 1, -1, 0, 63, 64, rng.randrange(-500, 500)]), rng.randrange(200) - 100,
+            rng.random() < 0.5, dt.date(1969, 12, 1) + dt.timedelta(days=rng.randrange(90)), rng.choice([NAN, 0.0, -0.0, 1.5, None]),
+            rng.choice("abcdé") * rng.randrange(3), None, dt.datetime(2024, 3, 31, rng.randrange(4), 30), {"k": i % 7}, [i % 5],
+        ))
+    df = spark.createDataFrame(rows, "a long, b short, c boolean, d date, e double, f string, g int, h timestamp_ntz, i map<string,int>, `j.j` array<int>")
+    got = dict(values(aggregate.distinct_counts(df), "column", "distinct_count"))
+    plain = lambda v: None if v is None or v != v else str(v) if isinstance(v, (dict, list)) else v + 0.0 if isinstance(v, float) else v
+    want = {c: len({plain(r[k]) for r in rows} - {None}) for k, c in enumerate(df.columns)}
+    assert got == want
+    counted = {r["column"]: r["unique_count"] for r in profile.column_counts(df).collect()}
+    assert counted == want
+    assert set(values(aggregate.distinct_counts(df.limit(0)), "distinct_count")) == {(0,)}
+    some = values(aggregate.distinct_counts(df, ["f", "a"]), "ordinal", "column")
+    assert sorted(some) == [(0, "f"), (1, "a")]
+
+
+def test_whole_columns_take_one_scan_and_words_can_be_joined(spark, data):
+    lines = spark.read.parquet(f"{data}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    found = distinct.distinct_values(lines, lines.columns)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "SortAggregate" not in plan and "Python" not in plan
+    columns = distinct.whole_columns(lines, lines.columns)
+    parts = [distinct.words(lines.where(F.col("l_orderkey") % 3 == k), columns) for k in range(3)]
+    assert sorted(distinct.counted_words(distinct.joined_words(parts)).collect()) == sorted(found.collect())
+    keys = spark.range(1_000_000).select("id")
+    assert distinct.words(keys, distinct.whole_columns(keys, ["id"])).count() == 15_625
+
+
 def test_approximate_counts_have_the_same_shape(spark):
     df = spark.createDataFrame([(1, "a"), (2, "a")], "i int, s string")
     assert sorted(values(aggregate.distinct_counts(df, approximate=True), "column", "distinct_count")) == [
