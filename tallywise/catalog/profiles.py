@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import aggregate, profile, quality
+from ..operators import profile_state as states
+from ..session import scratch_path
 from .registry import TABLES, load, query, quoted, rounded, union_all
 
 PROFILED = ("orders", "lineitem", "events", "customer", "supplier", "part", "nation", "region",
@@ -137,6 +139,35 @@ def date_features_text(spark, sf):
     return profile.add_date_features(rows, ["ordered", "shipped", "due"])[0]
 
 
+STATED = ("l_orderkey", "l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate")
+
+
+@query(
+    "profile_state",
+    union_all(
+        [
+            f"""SELECT {i}::INTEGER AS ordinal, {quoted(c)} AS "column", count(*) AS row_count, count(v) AS non_null,
+            count(*) - count(v) AS null_count, round(min(n), 4) AS min, round(max(n), 4) AS max, round(sum(n), 2) AS sum,
+            round(avg(n), 4) AS mean, round(stddev_samp(n), 4) AS std
+            FROM (SELECT {v} AS v, {f"{v}::DOUBLE" if kind in ("bigint", "double") else "NULL::DOUBLE"} AS n FROM lineitem)"""
+            for i, (c, kind) in enumerate((c, k) for c in STATED for n, k, _ in TABLES["lineitem"] if n == c)
+            for v in (f"CASE WHEN l_linenumber <> 3 THEN {c} END" if c == "l_quantity" else c,)
+        ]
+    ),
+)
+def profile_state(spark, sf):
+    """A table that grows in three steps; each step reads its own files only."""
+    lines = load(spark, sf, "lineitem")
+    lines = lines.withColumn("l_quantity", F.when(F.col("l_linenumber") != 3, F.col("l_quantity")))
+    source, state = scratch_path(spark, "growing"), scratch_path(spark, "growing-state")
+    for part in range(3):
+        lines.where(F.col("l_orderkey") % 3 == part).select(*STATED).write.mode("append").parquet(source)
+        states.update(spark, source, state)
+    found = states.merged(spark, source, state)
+    exact = ("row_count", "non_null", "null_count", "min", "max", "sum", "mean", "std")
+    return rounded(found.select("ordinal", "column", *exact), 4).withColumn("sum", F.round("sum", 2))
+
+
 MEASURED = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
 
 

@@ -27,24 +27,12 @@ DATE_SHAPES = (
     (r"^[A-Za-z]{4,9} \d{4}$", "MMMM yyyy"),
     (r"^\d{4}-\d{1,2}$", "yyyy-M"),
 )
-# Forms that tell day and month apart by their place only, month first and day first.
-# A column is read in one of the two ways throughout.
-MONTH_FIRST = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "M-d-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "M.d.yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "M/d/yy"),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", "M-d-yy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "M.d.yy"),
-)
-DAY_FIRST = (
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-yyyy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{4}$", "d.M.yyyy"),
-    (r"^\d{1,2}/\d{1,2}/\d{2}$", "d/M/yy"),
-    (r"^\d{1,2}-\d{1,2}-\d{2}$", "d-M-yy"),
-    (r"^\d{1,2}\.\d{1,2}\.\d{2}$", "d.M.yy"),
-)
+# Dates that tell day and month apart by their place only; a column is read in one of the
+# two ways throughout.  They are parsed with slashes, by the length of the year.
+PLACED_SHAPE = r"^\d{1,2}([/.-])\d{1,2}\1(?:\d{4}|\d{2})$"
+PLACED_START = r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"
+MONTH_FIRST = ("M/d/yyyy", "M/d/yy")
+DAY_FIRST = ("d/M/yyyy", "d/M/yy")
 # The same date forms may be followed by a time of day.
 TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?: ?([AaPp])[Mm])?$"
 # ISO with an offset, which is turned to UTC.
@@ -122,25 +110,27 @@ def _day_text(trimmed: Column) -> Column:
     return F.when(trimmed.rlike(TIME_SHAPE), F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
 
 
-def _read_day(text: Column, shapes: Iterable[tuple[str, str]]) -> Column:
-    """The date of the first shape that the text has, null if it is none."""
-    (shape, pattern), *others = shapes
-    day = F.when(text.rlike(shape), F.try_to_date(text, pattern))
-    for shape, pattern in others:
-        day = day.when(text.rlike(shape), F.try_to_date(text, pattern))
-    return day
+def _placed_day(text: Column, patterns: tuple[str, str]) -> Column:
+    """The date of a text of the placed shape, null if there is no such day."""
+    slashed = F.translate(text, ".-", "//")
+    long_year, short_year = patterns
+    return F.when(slashed.rlike(r"/\d{4}$"), F.try_to_date(slashed, long_year)).otherwise(
+        F.try_to_date(slashed, short_year)
+    )
 
 
 def placed_dates(value: Column) -> Column:
     """Whether a text told apart by place only is a date: a struct (month_first, day_first) of flags."""
 
     def flags(text: Column) -> Column:
+        placed = text.rlike(PLACED_SHAPE)
         return F.struct(
-            _read_day(text, MONTH_FIRST).isNotNull().alias("month_first"),
-            _read_day(text, DAY_FIRST).isNotNull().alias("day_first"),
+            (placed & _placed_day(text, MONTH_FIRST).isNotNull()).alias("month_first"),
+            (placed & _placed_day(text, DAY_FIRST).isNotNull()).alias("day_first"),
         )
 
-    return let(_day_text(F.trim(value)), flags)
+    # One look at the beginning spares all other texts.
+    return F.when(value.rlike(PLACED_START), let(_day_text(F.trim(value)), flags))
 
 
 def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
@@ -162,7 +152,10 @@ def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
 
     def parsed(text: Column) -> Column:
         # Dates know no time zone; the time of day is put back by an ISO cast.
-        day = _read_day(text["day"], (DAY_FIRST if day_first else MONTH_FIRST) + DATE_SHAPES)
+        placed = _placed_day(text["day"], DAY_FIRST if day_first else MONTH_FIRST)
+        day = F.when(text["day"].rlike(PLACED_SHAPE), placed)
+        for shape, pattern in DATE_SHAPES:
+            day = day.when(text["day"].rlike(shape), F.try_to_date(text["day"], pattern))
         return F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), text["time"]))
 
     other = let(F.struct(day_text.alias("day"), time_text.alias("time")), parsed)

@@ -80,10 +80,12 @@ def distinct_counts(
     ]
     if approximate:
         return df.agg(F.array(*fields).alias("f")).select(F.inline("f"))
-    # One row per column: the schema bounds it.
-    listed = df.sparkSession.range(1).select(F.inline(F.array(*fields))).drop("distinct_count")
-    count = F.coalesce("distinct_count", F.lit(0).cast("bigint")).alias("distinct_count")
-    return listed.join(distinct_values(df, columns), "ordinal", "left").select("ordinal", "column", count)
+    # Columns without a value are in none of the counts.
+    listed = df.sparkSession.range(1, numPartitions=1).select(F.inline(F.array(*fields)))
+    found = listed.select("ordinal", "distinct_count").unionByName(distinct_values(df, columns))
+    names = F.array(*[F.lit(c) for c in columns])
+    totals = found.groupBy("ordinal").agg(F.sum("distinct_count").alias("distinct_count"))
+    return totals.select("ordinal", F.get(names, F.col("ordinal")).alias("column"), "distinct_count")
 
 
 def drill_time(df: DataFrame, date_col: str, measure: str) -> DataFrame:
