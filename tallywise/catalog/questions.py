@@ -428,6 +428,40 @@ def q_columns(spark, sf):
     )
 
 
+# Words of the tables against names of columns, pair by pair.
+COMPARED = ("o_totalprice", "orderdate", "segment", "supplier", "brand name")
+_WORDS = (("nation", "n_name"), ("part", "p_name"), ("part", "p_type"), ("customer", "c_mktsegment"),
+          ("supplier", "s_name"), ("orders", "o_orderpriority"), ("events", "event_type"))
+
+
+@query(
+    "word_similarity",
+    f"""WITH RECURSIVE said AS ({" UNION ALL ".join(f"SELECT {c} AS t FROM {t}" for t, c in _WORDS)}),
+    words AS (SELECT DISTINCT w FROM (SELECT unnest(string_split(lower(t), ' ')) AS w FROM said) WHERE w <> ''),
+    pairs AS (SELECT w, c FROM words, (SELECT unnest([{", ".join(f"'{c}'" for c in COMPARED)}]) AS c)),
+    blocks AS (
+        SELECT w, c, w AS a, c AS b, 0::BIGINT AS same FROM pairs
+        UNION ALL
+        SELECT w, c, CASE WHEN side = 0 THEN substr(a, 1, p - 1) ELSE substr(a, p + size) END,
+            CASE WHEN side = 0 THEN substr(b, 1, in_b - 1) ELSE substr(b, in_b + size) END, CASE WHEN side = 0 THEN size ELSE 0 END
+        FROM (SELECT *, instr(b, substr(a, p, size)) AS in_b FROM (
+            SELECT *, best // 1000 AS size, 999 - best % 1000 AS p FROM (
+                SELECT *, list_max(flatten([[CASE WHEN contains(b, substr(a, i, n)) THEN n * 1000 + 999 - i ELSE 0 END
+                    for n in range(1, length(a) - i + 2)] for i in range(1, length(a) + 1)])) AS best
+                FROM blocks WHERE a <> '' AND b <> '') WHERE best > 0)), (VALUES (0), (1)) s(side))
+    SELECT w AS word, c AS "column", round(2.0 * sum(same) / any_value(length(w) + length(c)), 6)::DOUBLE AS ratio
+    FROM blocks GROUP BY w, c""",
+)
+def word_similarity(spark, sf):
+    said = None
+    for table, column in _WORDS:
+        words = load(spark, sf, table).select(F.explode(F.split(F.lower(column), " ")).alias("word"))
+        said = words if said is None else said.unionByName(words)
+    pairs = said.where("word <> ''").distinct().select("word", F.explode(F.array(*[F.lit(c) for c in COMPARED])).alias("column"))
+    ratio = Q.sequence_ratio(F.col("word"), F.col("column"))
+    return pairs.select("word", "column", F.round(ratio, 6).alias("ratio"))
+
+
 INTENT_SQL = f"""{classed_sql()}, {_columns_sql()},
     blended AS (SELECT classed.*, best.* EXCLUDE (event_id), {GREETING_SQL} AS hello,
         {DIRECTION_SQL} AS up, {TOP_SQL} AS top_n, {HORIZON_SQL} AS horizon, {ORDINAL_SQL} AS nth,

@@ -328,3 +328,55 @@ def similarity_score(word: Column, column: Column) -> Column:
         )
     )
     return F.greatest(edit_similarity(word, column), best)
+
+
+def _longest_shared(a: Column, b: Column) -> Column:
+    """The longest text that stands in both, the first of ``a`` among equals: struct (size, back, part).
+
+    ``back`` is minus its place in ``a``; null if there is none.
+    """
+
+    def parts(i: Column) -> Column:
+        # All texts of ``a`` that begin at ``i``.
+        sizes = F.sequence(F.lit(1), F.length(a) - i + 1)
+        return F.transform(sizes, lambda n: F.struct(n.alias("size"), (-i).alias("back"), F.substr(a, i, n).alias("part")))
+
+    every = F.flatten(F.transform(F.sequence(F.lit(1), F.length(a)), parts))
+    return F.array_max(F.filter(every, lambda p: F.contains(b, p["part"])))
+
+
+def sequence_ratio(a: Column, b: Column) -> Column:
+    """Twice the characters in matching blocks over those of both texts; 1 for two empty texts.
+
+    The longest shared block is taken first (the first in ``a``, then in ``b``, among equals),
+    then the same is done left of it and right of it.  Meant for words: the work grows with
+    the square of their length.  From 200 characters on, a common variant that ignores
+    frequent characters differs.
+    """
+
+    def split(state: Column) -> Column:
+        head = F.get(state["open"], F.lit(0))
+        rest = F.slice(state["open"], 2, F.greatest(F.size(state["open"]) - 1, F.lit(0)))
+
+        def cut(x: Column) -> Column:
+            best, left, right = x["best"], x["a"], x["b"]
+            at, in_b = -best["back"], F.instr(right, best["part"])
+            pieces = F.array(
+                F.struct(F.substr(left, F.lit(1), at - 1).alias("a"), F.substr(right, F.lit(1), in_b - 1).alias("b")),
+                F.struct(F.substr(left, at + best["size"]).alias("a"), F.substr(right, in_b + best["size"]).alias("b")),
+            )
+            more = F.filter(pieces, lambda p: (p["a"] != "") & (p["b"] != ""))
+            return F.when(best.isNull(), F.struct(rest.alias("open"), state["same"].alias("same"))).otherwise(
+                F.struct(F.concat(more, rest).alias("open"), (state["same"] + best["size"]).alias("same"))
+            )
+
+        found = F.struct(_longest_shared(head["a"], head["b"]).alias("best"), head["a"].alias("a"), head["b"].alias("b"))
+        return F.when(F.size(state["open"]) == 0, state).otherwise(let(found, cut))
+
+    both = F.struct(a.alias("a"), b.alias("b"))
+    start = F.struct(F.filter(F.array(both), lambda p: (p["a"] != "") & (p["b"] != "")).alias("open"), F.lit(0).alias("same"))
+    # Every step but the last ones of a branch finds a character, so these are enough.
+    steps = F.sequence(F.lit(0), 2 * F.least(F.length(a), F.length(b)))
+    same = F.aggregate(steps, start, lambda s, _: split(s), lambda s: s["same"])
+    total = F.length(a) + F.length(b)
+    return F.when(total == 0, F.lit(1.0)).otherwise(same * 2.0 / F.greatest(total, F.lit(1)))

@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import questions as Q
 from ..functions import vocabulary as V
@@ -21,12 +18,6 @@ from .profile import Roles
 ROLES = ("measure", "dimension", "date_col")
 
 
-@F.pandas_udf(T.DoubleType())
-def _sequence_similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Matching-blocks ratio of two words."""
-    return pd.Series([SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)])
-
-
 def _candidates(roles: Roles) -> Column:
     offered = zip(ROLES, (roles.measures, roles.dimensions, roles.dates))
     return F.array(
@@ -47,8 +38,8 @@ def token_scores(words: DataFrame, roles: Roles, similarity: str = "edit") -> Da
     """Score of each distinct word against each column: (token, role, place, column, score).
 
     The number of columns is fixed by the profile, so each word grows into a
-    bounded number of rows.  ``similarity`` is ``edit`` (edit distance, inside
-    the JVM) or ``sequence`` (matching blocks, in Python).
+    bounded number of rows.  ``similarity`` is ``edit`` (edit distance) or
+    ``sequence`` (matching blocks, which cost more).
     """
     pairs = (
         words.select("token", F.explode(Q.synonyms(F.col("token"))).alias("word"))
@@ -75,7 +66,7 @@ def token_scores(words: DataFrame, roles: Roles, similarity: str = "edit") -> Da
         )
         settled = pairs.where(F.col("rule").isNotNull()).withColumn("score", F.col("rule"))
         open_pairs = pairs.where(F.col("rule").isNull()).select("*", F.inline(compared))
-        guessed = open_pairs.withColumn("score", _sequence_similarity("a", "b")).drop("a", "b")
+        guessed = open_pairs.withColumn("score", Q.sequence_ratio(F.col("a"), F.col("b"))).drop("a", "b")
         scored = settled.unionByName(guessed)
     else:
         raise ValueError(f"unknown similarity {similarity!r}")

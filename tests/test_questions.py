@@ -1,5 +1,6 @@
 """Question tagging on literal questions."""
 
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -255,3 +256,14 @@ def test_session_filters_add_replace_and_reset(spark):
                      5: {("Region", "neq", "East")}, 6: {("Region", "neq", "East")}, 90: {east}}
     none = ops.session_filters(asked.limit(0), records.limit(0), "id", "s", "id", "q", ["Region"])
     assert none.count() == 0
+
+
+def test_sequence_ratio_is_that_of_the_plain_recursion(spark):
+    rng = random.Random(12)
+    pairs = [("".join(rng.choice(kinds) for _ in range(rng.randrange(0, 14))), "".join(rng.choice(kinds) for _ in range(rng.randrange(0, 14))))
+             for kinds in ("ab", "abc", "abcdefgh", "aé日_ ") for _ in range(250)]
+    pairs += [("", ""), ("", "a"), ("reveune", "revenue"), ("rgeion", "region"), ("%_", "_%"), ("private", "derivative" * 5)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a string, b string")
+    got = df.select("i", Q.sequence_ratio(F.col("a"), F.col("b"))).collect()
+    for i, ratio in got:
+        assert ratio == pytest.approx(SequenceMatcher(None, *pairs[i]).ratio(), abs=1e-12), pairs[i]
