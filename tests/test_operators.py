@@ -20,6 +20,7 @@ from tallywise.operators import (
     distribution,
     filters,
     kpi,
+    prefix,
     profile,
     quality,
     quantiles,
@@ -339,6 +340,36 @@ def test_aggregate_all_null_group(spark):
         aggregate.aggregate_by(df, "k", "v", "last")
 
 
+def test_running_total_over_thousands_of_ranges(spark):
+    df = spark.range(20_000).select(F.pmod(F.xxhash64("id"), F.lit(3001)).cast("double").alias("v"), "id")
+    order = [-F.col("v"), F.col("id")]
+    out = running_total(df, order, "v", ranges=3000)
+    rows = sorted(values(df, "v", "id"), key=lambda r: (-r[0], r[1]))
+    past, want = 0.0, []
+    for place, (v, i) in enumerate(rows, 1):
+        past += v
+        want.append((place, v, i, past))
+    assert sorted(values(out, "position", "v", "id", "running")) == want
+    assert set(values(out, "total")) == {(past,)}
+    placed = prefix.with_range(df, order, prefix.cut_points(df, order, 3000))
+    assert placed.agg(F.count_distinct("_range")).first()[0] > 2500
+    # No window over all rows or all ranges: each is split by a range or a part, but for the dozen totals of parts.
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert sum("Window [" in line and "_part" not in line and "_range#" not in line.split("],", 1)[-1] for line in plan.splitlines()) <= 1
+    assert running_total(df.limit(0), order, "v", ranges=3000).count() == 0
+
+
+@pytest.mark.parametrize("ranges", [1, 2, 7, 256, 300])
+def test_ranges_count_the_cuts_at_or_before_a_row(spark, ranges):
+    df = spark.range(500).selectExpr("id % 50 as k", "id")
+    order = [F.col("k"), F.col("id")]
+    cuts = prefix.cut_points(df, order, ranges)
+    flat = [tuple(c) for run in cuts.first()["cuts"] or [] for c in run]
+    assert flat == sorted(flat) and len(flat) <= ranges
+    for k, i, found in values(prefix.with_range(df, order, cuts), "k", "id", "_range"):
+        assert found == sum(c <= (k, i) for c in flat)
+
+
 def test_distinct_counts_of_all_kinds(spark):
     rng = random.Random(4)
     rows = []
