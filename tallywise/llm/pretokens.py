@@ -79,6 +79,7 @@ class PieceTable:
 
     PLACES = 19
     MOST_IDS = 4_000_000
+    MOST_POINTS = 6_000_000
     POINTS_AT_ONCE = 1 << 18
 
     def __init__(self, encode: Callable[[list[str]], list]):
@@ -88,12 +89,12 @@ class PieceTable:
     def reset(self) -> None:
         size = 1 << self.PLACES
         self.keys = np.zeros(size, np.uint64)
-        self.where = np.zeros(size, np.int64)
-        self.sizes = np.zeros(size, np.int64)
+        self.where = np.zeros(size, np.int32)
+        self.sizes = np.zeros(size, np.int32)
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         # The code points of the piece in each place.
-        self.text_at = np.zeros(size, np.int64)
-        self.lengths = np.zeros(size, np.int64)
+        self.text_at = np.zeros(size, np.int32)
+        self.lengths = np.zeros(size, np.int32)
         self.points, self.points_used = np.zeros(1 << 16, np.uint32), 0
 
     def encode(self, texts: list[str]):
@@ -117,7 +118,7 @@ class PieceTable:
         length = end - begin
         keys = Rolling(_POINTS[points]).slices(begin, end)
         place = (keys >> np.uint64(64 - self.PLACES)).astype(np.int64)
-        where, sizes, text_at = self.where[place], self.sizes[place], self.text_at[place]
+        where, sizes, text_at = (x[place].astype(np.int64) for x in (self.where, self.sizes, self.text_at))
         same = self.lengths[place] == length
         missing = np.flatnonzero((self.keys[place] != keys) | (sizes == 0))
         if len(missing):
@@ -139,7 +140,7 @@ class PieceTable:
         past = np.concatenate(([0], np.cumsum(sizes)))
         ids = self.flat[np.repeat(where - past[:-1], sizes) + np.arange(past[-1])]
         bounds = past[np.searchsorted(begin, edges)]
-        if max(self.used, self.points_used // 4) > self.MOST_IDS:
+        if self.used > self.MOST_IDS or self.points_used > self.MOST_POINTS:
             self.reset()
         return [ids[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
