@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import aggregate, contribution, distribution, filters, kpi, ranking
+from ..operators import aggregate, contribution, distribution, filters, kpi, ranking, value_index
+from ..session import scratch_path
 from .registry import load, query, quoted, rounded, union_all
 
 # --- filters and slicers --------------------------------------------------------
@@ -70,23 +71,34 @@ def filter_contains_literal(spark, sf):
     )
 
 
-@query(
-    "literal_lookup",
-    """WITH l AS (SELECT DISTINCT p_type AS literal FROM part UNION SELECT DISTINCT lower(p_brand) FROM part
+LOOKUP_SQL = """WITH l AS (SELECT DISTINCT p_type AS literal FROM part UNION SELECT DISTINCT lower(p_brand) FROM part
                UNION SELECT DISTINCT p_name FROM part UNION SELECT c_mktsegment FROM customer),
     v AS (SELECT 0 AS i, 'p_name' AS c, lower(p_name) AS v FROM part
           UNION ALL SELECT 1, 'p_brand', lower(p_brand) FROM part
           UNION ALL SELECT 2, 'p_type', lower(p_type) FROM part)
-    SELECT literal, arg_min(c, i) AS "column" FROM l JOIN v ON lower(literal) = v GROUP BY literal""",
-)
-def literal_lookup(spark, sf):
-    part = load(spark, sf, "part")
-    asked = (
-        part.select(F.inline(F.array(*[F.struct(c.alias("literal")) for c in (
+    SELECT literal, arg_min(c, i) AS "column" FROM l JOIN v ON lower(literal) = v GROUP BY literal"""
+
+
+def _asked(spark, sf):
+    return (
+        load(spark, sf, "part").select(F.inline(F.array(*[F.struct(c.alias("literal")) for c in (
             F.col("p_type"), F.lower("p_brand"), F.col("p_name"))])))
         .unionByName(load(spark, sf, "customer").select(F.col("c_mktsegment").alias("literal")))
     )
-    return filters.literal_lookup(part, ["p_name", "p_brand", "p_type"], asked)
+
+
+@query("literal_lookup", LOOKUP_SQL)
+def literal_lookup(spark, sf):
+    return filters.literal_lookup(load(spark, sf, "part"), ["p_name", "p_brand", "p_type"], _asked(spark, sf))
+
+
+@query("value_dictionary", LOOKUP_SQL)
+def value_dictionary(spark, sf):
+    """The same look-up through a stored dictionary, built in two steps: a column that comes later is added."""
+    source, index = f"{sf}/part.parquet", scratch_path(spark, "value-index")
+    for dimensions in (["p_brand", "p_type"], ["p_name", "p_brand", "p_type"]):
+        value_index.update(spark, source, index, dimensions)
+    return value_index.lookup(spark, source, index, ["p_name", "p_brand", "p_type"], _asked(spark, sf))
 
 
 @query(

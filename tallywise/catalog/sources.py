@@ -162,6 +162,12 @@ def json_export(spark, sf):
     return spark.read.schema("c_custkey bigint, c_name string, c_acctbal double").json(path)
 
 
+@query("clean_headers", "SELECT * FROM part")
+def clean_headers(spark, sf):
+    part = load(spark, sf, "part")
+    return cleaning.clean_headers(part.toDF(*[" " * (i % 3) + c + "\t" * (i % 2) for i, c in enumerate(part.columns)]))
+
+
 @query(
     "drop_all_null",
     """SELECT o_custkey, o_orderstatus, o_totalprice FROM (

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import vocabulary as V
 from ..functions.coerce import moment, name_of, number
 
+# Columns of the correlation matrix that one aggregation holds, each way.
+BLOCK = 8
+
 
 def _range(values: DataFrame) -> Column:
     """Scalar subquery: the histogram range, widened by 0.5 each way when it is a point."""
@@ -54,36 +57,56 @@ def histogram(df: DataFrame, measure: str, bins: int = V.HISTOGRAM_BINS) -> Data
 def correlations(df: DataFrame, measures: list[str]) -> DataFrame:
     """Pearson r of every pair a <= b over rows where all measures are present.
 
-    All pairs come from one aggregation.  r is null for a constant measure.
+    The matrix is cut into blocks of ``BLOCK`` columns each way, one group and one result row
+    a block, in one scan: no row, aggregate or generated method grows with the square of the
+    number of measures.  r is null for a constant measure.
     """
-    if len(measures) < 2:
+    many = len(measures)
+    if many < 2:
         return df.sparkSession.createDataFrame([], "i int, j int, a string, b string, r double")
-    complete = df.select(
-        *[number(df, m).alias(f"m{i}") for i, m in enumerate(measures)]
-    ).na.drop()
-    span = range(len(measures))
-    pairs = [(i, j) for i in span for j in span if i <= j]
-    moments = complete.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.stddev_pop(f"m{i}").alias(f"sd{i}") for i in span],
-        *[F.covar_pop(f"m{i}", f"m{j}").alias(f"cov{i}_{j}") for i, j in pairs if i != j],
+    width = min(BLOCK, many)
+    starts = range(0, many, width)
+    blocks = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p in starts for q in starts if p <= q])
+    # Rows with a missing value meet no block.  A filter on them would make the optimizer derive
+    # one of every set of columns.
+    complete = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x))
+    rows = df.select(F.array(*[number(df, m) for m in measures]).alias("v"))
+    met = rows.select("v", F.explode_outer(F.when(complete, blocks)).alias("at")).where("at is not null")
+    # The last block is filled up with nulls, which no aggregate counts.
+    met = met.select(
+        "at",
+        *[F.get("v", F.col("at.p") + k).alias(f"x{k}") for k in range(width)],
+        *[F.get("v", F.col("at.q") + k).alias(f"y{k}") for k in range(width)],
     )
-    cells = []
-    for i, j in pairs:
-        spread = F.col(f"sd{i}") * F.col(f"sd{j}")
-        r = F.lit(1.0) if i == j else F.greatest(
-            F.least(F.try_divide(F.col(f"cov{i}_{j}"), spread), F.lit(1.0)), F.lit(-1.0)
-        )
-        cells.append(
+    inside = [(k, n) for k in range(width) for n in range(width) if k <= n or many > width]
+    moments = met.groupBy("at").agg(
+        *[F.stddev_pop(f"{side}{k}").alias(f"s{side}{k}") for side in "xy" for k in range(width)],
+        *[F.covar_pop(f"x{k}", f"y{n}").alias(f"c{k}_{n}") for k, n in inside],
+    )
+    names = F.array(*[F.lit(m) for m in measures])
+    cells = F.array(
+        *[
             F.struct(
-                F.lit(i).alias("i"),
-                F.lit(j).alias("j"),
-                F.lit(measures[i]).alias("a"),
-                F.lit(measures[j]).alias("b"),
-                F.when(spread > 0, F.round(r, 3)).alias("r"),
+                (F.col("at.p") + k).alias("i"),
+                (F.col("at.q") + n).alias("j"),
+                (F.col(f"sx{k}") * F.col(f"sy{n}")).alias("spread"),
+                F.col(f"c{k}_{n}").alias("cov"),
             )
+            for k, n in inside
+        ]
+    )
+    r = F.greatest(F.least(F.try_divide("cov", "spread"), F.lit(1.0)), F.lit(-1.0))
+    return (
+        moments.select(F.inline(cells))
+        .where((F.col("i") <= F.col("j")) & (F.col("j") < many))
+        .select(
+            "i",
+            "j",
+            F.get(names, "i").alias("a"),
+            F.get(names, "j").alias("b"),
+            F.when(F.col("spread") > 0, F.when(F.col("i") == F.col("j"), 1.0).otherwise(F.round(r, 3))).alias("r"),
         )
-    return moments.where(F.col("rows") > 0).select(F.inline(F.array(*cells)))
+    )
 
 
 def correlation_matrix(df: DataFrame, measures: list[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -340,14 +341,17 @@ def question_filters(
     questions: DataFrame,
     id_col: str,
     text_col: str,
-    data: DataFrame,
+    data: DataFrame | None,
     dimensions: list[str],
     date_col: str | None,
+    lookup: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Filter records the questions ask for: (id, column, op, value).
 
     A named value is looked up in the dimension columns, the first that holds
-    it wins, and values no column holds make no record.
+    it wins, and values no column holds make no record.  ``lookup`` answers
+    (literal) with (literal, column) in place of a scan of ``data``, such as
+    a stored dictionary (``value_index``).
     """
     question = name_of(text_col)
     base = questions.select(
@@ -366,7 +370,7 @@ def question_filters(
         ).alias("named"),
     )
     asked = base.select(id_col, F.inline("named"))
-    places = literal_lookup(data, dimensions, asked)
+    places = lookup(asked) if lookup else literal_lookup(data, dimensions, asked)
     records = asked.join(places, "literal").select(
         id_col, "column", "op", F.col("literal").alias("value")
     )

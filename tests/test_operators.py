@@ -1,8 +1,10 @@
 """Edge cases on literal frames."""
 
 import datetime as dt
+import math
 import random
 import re
+import statistics
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -315,6 +317,35 @@ def test_correlation_degenerate(spark):
     assert values(distribution.strong_pairs(df, ["a", "b", "c"]), "a", "b", "r") == [("a", "b", 1.0)]
 
 
+def test_correlation_of_many_columns_by_blocks(spark):
+    rng = random.Random(3)
+    names = [f"c{i}" for i in range(21)]
+    base = [[rng.gauss(0, 1) for _ in range(60)] for _ in range(4)]
+    cols = [[1e6 + b + rng.gauss(0, 0.1 * (i + 1)) for b in base[i % 4]] for i in range(20)] + [[2.5] * 60]
+    df = spark.createDataFrame(list(zip(*cols)), ", ".join(f"{n} double" for n in names))
+    got = {(r["row"], r["col"]): r["r"] for r in distribution.correlation_matrix(df, names).collect()}
+    assert len(got) == 21 * 21
+    for i in range(21):
+        for j in range(21):
+            if 20 in (i, j):
+                assert got[i, j] is None
+            else:
+                assert math.isclose(got[i, j], statistics.correlation(cols[i], cols[j]), abs_tol=6e-4)
+
+
+def test_correlation_of_two_hundred_columns(spark):
+    """One scan, one group a block; nothing as wide as the square of the columns."""
+    names = [f"c{i}" for i in range(200)]
+    df = spark.range(300).select(*[((F.col("id") * (2 * i + 3)) % 101).cast("double").alias(n) for i, n in enumerate(names)])
+    pairs = distribution.correlations(df, names)
+    found = {(r["a"], r["b"]): r["r"] for r in pairs.collect()}
+    assert len(found) == 200 * 201 // 2
+    assert found["c3", "c49"] is None  # constant
+    rows = df.select("c3", "c151", "c199").collect()
+    for a, b in (("c3", "c151"), ("c151", "c199")):
+        assert math.isclose(found[a, b], statistics.correlation([r[a] for r in rows], [r[b] for r in rows]), abs_tol=6e-4)
+
+
 def test_anomalies_need_five_values_and_some_spread(spark):
     few = spark.createDataFrame([(i, float(v)) for i, v in enumerate([1, 1, 1, 99])], "id int, v double")
     flat = spark.createDataFrame([(i, 1.0) for i in range(9)], "id int, v double")
