@@ -26,11 +26,10 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, _spread, small_batches
+from .common import Words, _spread, small_batches, stored
 
 CHUNK_BYTES = 4 << 20
 MASS = 2.0  # M, the weight of the uniform distribution
-SKETCH = 1024  # least hashes kept to estimate the number of distinct words
 KEY_BITS = 48  # of an n-gram's hash inside its bucket
 
 ASKED = "kind int, bucket int, chunk long, keys binary, counts binary, of_target binary"
@@ -101,19 +100,19 @@ def score(docs: DataFrame, target: DataFrame) -> DataFrame:
     def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             words = Words([t.encode() for t in batch["text"]])
-            least = np.unique(words.hash >> np.uint64(1))[:SKETCH]
-            first = pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tokens": np.diff(words.first), "least": None})
-            yield first
-            yield pd.DataFrame({"doc_id": pd.array([None], "Int64"), "tokens": [0], "least": [least.view(np.int64)]})
-
-    surveyed = rows.select("doc_id", "text").mapInPandas(survey, "doc_id long, tokens long, least array<long>")
-    counted = surveyed.where("least is null").join(named.withColumn("in_target", F.lit(True)), "doc_id", "left")
+            heard = np.full(len(batch), None, object)
+            if len(batch):
+                heard[0] = np.unique(words.hash).view(np.int64)  # of the whole batch, on its first row
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "tokens": np.diff(words.first), "heard": heard})
+
+    surveyed = rows.select("doc_id", "text").mapInPandas(survey, "doc_id long, tokens long, heard array<long>")
+    surveyed = stored(surveyed, "survey")
+    counted = surveyed.join(named.withColumn("in_target", F.lit(True)), "doc_id", "left")
     sums = counted.agg(
         F.sum(F.when(F.col("in_target"), F.col("tokens"))).alias("t"), F.sum("tokens").alias("all")
     ).first()
-    low = surveyed.where("least is not null").select(F.explode("least").alias("h")).distinct()
-    smallest = [r.h for r in low.orderBy("h").limit(SKETCH).collect()]
-    vocabulary = float(len(smallest)) if len(smallest) < SKETCH else (SKETCH - 1) * 2.0**63 / smallest[-1]
+    # Each task drops its repeated words before they travel.
+    vocabulary = float(surveyed.select(F.explode("heard").alias("word")).distinct().count() or 1)
     in_target, in_all = sums.t or 0, sums["all"] or 0
     scale = in_target / (in_all - in_target) if in_target and in_all > in_target else 1.0
 

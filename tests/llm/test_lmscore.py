@@ -42,13 +42,11 @@ def same(found, wanted, close):
 def test_documents(spark, data, documents, texts):
     labels = spark.read.parquet(f"{data}/labels.parquet").where("quality = 1 and toxic = 0").select("doc_id")
     good = {r.doc_id for r in labels.collect()}
-    # The size of the vocabulary is estimated, to a few hundredths.
-    same(lmscore.score(documents, labels).collect(), brute(sorted(texts.items()), good), 0.2)
+    same(lmscore.score(documents, labels).collect(), brute(sorted(texts.items()), good), 1e-9)
 
 
 def test_odd_rows(spark, odd_docs, no_docs, monkeypatch):
     monkeypatch.setattr(lmscore, "CHUNK_BYTES", 500)
-    monkeypatch.setattr(lmscore, "SKETCH", 1 << 20)
     rows = [(r.doc_id, r.text) for r in odd_docs.collect()]
     target = spark.createDataFrame([(1,), (None,), (6,), (6,)], "doc_id long")
     same(lmscore.score(odd_docs.withColumnRenamed("source", "score"), target).collect(), brute(rows, {1, 6}), 1e-9)
