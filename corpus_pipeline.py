@@ -16,13 +16,15 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop texts in no language: null, or without a letter.
+    """Drop texts in no language (null, or without a letter); the others without a language get the predicted one.
 
-    A predicted language never rejects a text, nor does its score: the stage keeps every
-    language, and with no labelled row to learn from it drops the same texts.
+    A given language stays, and no prediction or score rejects a text.  With no labelled row to
+    learn from the same texts go and languages stay null.  Repeated rows get equal answers; an
+    empty table stays empty; columns beyond those of ``documents`` go.
     """
     found = language.identify(docs, language.fit(docs), unfitted=language.UNLABELLED)
-    return found.where(F.col("lang_pred") != language.UNKNOWN).select(*COLUMNS)
+    guess = F.when(F.col("lang_pred") != language.UNLABELLED, F.col("lang_pred"))
+    return found.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.coalesce("lang", guess)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
