@@ -72,3 +72,13 @@ def test_no_labels_lose_no_text(spark, odd_docs):
     wanted = [r.text for r in odd_docs.collect() if r.text is not None and any(map(str.isalpha, r.text))]
     assert sorted(r.text for r in kept.collect()) == sorted(wanted)
     assert {r.lang_pred for r in language.identify(bare, None, unfitted="unlabelled").collect()} == {"und", "unlabelled"}
+
+
+def test_the_prediction_names_the_language_where_none_is_given(spark, documents):
+    given = {r.doc_id: r.lang for r in documents.collect()}
+    hidden = documents.withColumn("lang", F.when(F.col("doc_id") % 3 != 0, F.col("lang")))
+    made = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, hidden, "").collect()}
+    assert all(made[d] == given[d] for d in made if d % 3)
+    asked = [d for d in made if d % 3 == 0]
+    assert len({made[d] for d in asked}) > 2
+    assert sum(made[d] == given[d] for d in asked) >= 0.95 * len(asked)
