@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..operators import profile
+from ..operators.cube import moment_cube
 from ..plans import answers, findings
 from ..session import scratch_path
 from ..sources.sinks import export_blocks
@@ -303,6 +304,24 @@ def overview_blocks(spark, sf):
     return answers.overview_blocks(blocks)
 
 
+@query(
+    "overview_cells",
+    """SELECT grouping(x, s, p) AS grain, x, s AS status, p AS priority, min(day) AS lo, max(day) AS hi,
+        count(*) AS n, round(sum(price), 2) AS price, count(price) AS prices, sum(customer) AS customer
+    FROM (SELECT date_trunc('month', o_orderdate)::DATE AS x, o_orderdate::DATE AS day, o_orderstatus AS s,
+        o_orderpriority AS p, CASE WHEN o_orderkey % 10 < 7 THEN o_totalprice END AS price,
+        o_custkey::DOUBLE AS customer FROM orders)
+    GROUP BY GROUPING SETS ((x, s), (s), (p))""",
+)
+def overview_cells(spark, sf):
+    priced = F.when(F.col("o_orderkey") % 10 < 7, F.col("o_totalprice"))
+    orders = load(spark, sf, "orders").withColumn("o_totalprice", priced)
+    slicers = ["o_orderstatus", "o_orderpriority"]
+    cells = moment_cube(orders, ["o_totalprice", "o_custkey"], slicers[0], "o_orderdate", slicers).cells
+    names = {"k0": "status", "k1": "priority", "s0": "price", "c0": "prices", "s1": "customer"}
+    return rounded(cells.drop("c1").withColumnsRenamed(names), 2)
+
+
 @query(
     "overview_export",
     f"""WITH {series.ORDERS_SPINE} {series.TREND_SQL}""",

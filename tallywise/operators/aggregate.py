@@ -88,19 +88,25 @@ def distinct_counts(
     return totals.select("ordinal", F.get(names, F.col("ordinal")).alias("column"), "distinct_count")
 
 
-def drill_time(df: DataFrame, date_col: str, measure: str) -> DataFrame:
+def _many(rows: str | None) -> Column:
+    """How many rows a row stands for: itself, or what the column ``rows`` says."""
+    return F.lit(1) if rows is None else name_of(rows)
+
+
+def drill_time(df: DataFrame, date_col: str, measure: str, rows: str | None = None) -> DataFrame:
     """Totals at the levels all, year, quarter and month: (level, year, quarter, month, total, rows).
 
-    The months are totalled first, so the rollup expands calendar rows only.
+    The column ``rows`` says how many rows each row of a table of totals stands for.  The months are totalled first, so the rollup expands calendar rows only.
     """
     months = (
         df.select(
             F.trunc(moment(df, date_col).cast("date"), "month").alias("m"),
             number(df, measure).alias("v"),
+            _many(rows).alias("n"),
         )
         .na.drop()
         .groupBy("m")
-        .agg(F.sum("v").alias("v"), F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
         .select(
             F.year("m").alias("year"),
             F.quarter("m").alias("quarter"),
@@ -131,16 +137,18 @@ def drill_time(df: DataFrame, date_col: str, measure: str) -> DataFrame:
     )
 
 
-def drill_geo(df: DataFrame, geo_columns: list[str], measure: str, max_levels: int = 4) -> DataFrame:
-    """Totals along two to four place columns: (depth, place columns..., total, rows)."""
+def drill_geo(
+    df: DataFrame, geo_columns: list[str], measure: str, max_levels: int = 4, rows: str | None = None
+) -> DataFrame:
+    """Totals along two to four place columns: (depth, place columns..., total, rows); ``rows`` as above."""
     levels = geo_columns[:max_levels]
     if len(levels) < 2:
         raise ValueError("a place drill-down needs at least two columns")
     finest = (
-        df.select(*[name_of(c).alias(c) for c in levels], number(df, measure).alias("_v"))
+        df.select(*[name_of(c).alias(c) for c in levels], number(df, measure).alias("_v"), _many(rows).alias("_n"))
         .where(F.col("_v").isNotNull())
         .groupBy(*[name_of(c) for c in levels])
-        .agg(F.sum("_v").alias("_v"), F.count(F.lit(1)).alias("_n"))
+        .agg(F.sum("_v").alias("_v"), F.sum("_n").alias("_n"))
     )
     depth = sum((1 - F.grouping(name_of(c)).cast("int") for c in levels), F.lit(0))
     return (

@@ -109,9 +109,12 @@ def correlations(df: DataFrame, measures: list[str]) -> DataFrame:
     )
 
 
-def correlation_matrix(df: DataFrame, measures: list[str]) -> DataFrame:
-    """The full square matrix in long form: (row, col, a, b, r)."""
-    upper = correlations(df, measures)
+def correlation_matrix(df: DataFrame, measures: list[str], upper: DataFrame | None = None) -> DataFrame:
+    """The full square matrix in long form: (row, col, a, b, r).
+
+    ``upper``, here and below, is the result of ``correlations``, if it is at hand.
+    """
+    upper = correlations(df, measures) if upper is None else upper
     return upper.select(
         F.inline(
             F.when(
@@ -134,11 +137,11 @@ def correlation_matrix(df: DataFrame, measures: list[str]) -> DataFrame:
 
 
 def strong_pairs(
-    df: DataFrame, measures: list[str], threshold: float = V.STRONG_CORRELATION
+    df: DataFrame, measures: list[str], threshold: float = V.STRONG_CORRELATION, upper: DataFrame | None = None
 ) -> DataFrame:
     """Pairs with abs(r) at or above the threshold, strongest first: (i, j, a, b, r)."""
     return (
-        correlations(df, measures)
+        (correlations(df, measures) if upper is None else upper)
         .where((F.col("i") < F.col("j")) & (F.abs("r") >= threshold))
         .orderBy(F.abs("r").desc(), "i", "j")
     )

@@ -123,6 +123,11 @@ def slicer_values(
         .groupBy("ordinal", "column", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
+    return most_frequent(counted, max_values)
+
+
+def most_frequent(counted: DataFrame, max_values: int = V.SLICER_VALUES) -> DataFrame:
+    """The choices among counted values (ordinal, column, value, rows)."""
     place = F.row_number().over(
         Window.partitionBy("ordinal", "column").orderBy(F.col("rows").desc(), "value")
     )

@@ -43,14 +43,19 @@ def _per_measure(df: DataFrame, measures: list[str], keep: list[str], fields: di
 
 
 def kpi_totals(
-    df: DataFrame, measures: list[str], limit: int | None = None
+    df: DataFrame, measures: list[str], limit: int | None = None, monthly: DataFrame | None = None
 ) -> DataFrame:
     """Sum, mean and non-null count per measure; measures without values are left out.
 
-    Here and below all measures count unless ``limit`` cuts their list.
+    Here and below all measures count unless ``limit`` cuts their list, and ``monthly`` holds
+    the sums and counts of all months (``Cube.monthly``), if they are at hand.
     """
     measures = measures[:limit]
-    long = _per_measure(_by_month(df, measures, None), measures, [], {"s": "total", "c": "count"})
+    if monthly is None:
+        whole = _by_month(df, measures, None)
+    else:
+        whole = monthly.agg(*[F.sum(f"{p}{i}").alias(f"{p}{i}") for i in range(len(measures)) for p in "sc"])
+    long = _per_measure(whole, measures, [], {"s": "total", "c": "count"})
     return long.where(F.col("count") > 0).select(
         "ordinal",
         "name",
@@ -61,14 +66,19 @@ def kpi_totals(
 
 
 def kpi_series(
-    df: DataFrame, measures: list[str], date_col: str, limit: int | None = None
+    df: DataFrame,
+    measures: list[str],
+    date_col: str,
+    limit: int | None = None,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Gap-free monthly sums per measure: (ordinal, name, x, y).
 
     The calendar spans all dated rows, also those without a value.
     """
     measures = measures[:limit]
-    dated = _by_month(df, measures, date_col).where(F.col("x").isNotNull())
+    by_month = _by_month(df, measures, date_col) if monthly is None else monthly
+    dated = by_month.where(F.col("x").isNotNull())
     sums = [f"s{i}" for i in range(len(measures))]
     filled = fill_gaps(dated.select("x", *sums), "x", sums, "MS")
     return _per_measure(filled, measures, ["x"], {"s": "y"})
@@ -107,12 +117,13 @@ def kpi_change(
     date_col: str,
     limit: int | None = None,
     complete_only: bool = False,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """Last calendar month against the one before.
 
     ``complete_only`` leaves out the newest month, which may be a partial one.
     """
-    series = kpi_series(df, measures, date_col, limit)
+    series = kpi_series(df, measures, date_col, limit, monthly)
     if complete_only:
         newest = F.max("x").over(Window.partitionBy("ordinal"))
         series = series.withColumn("_newest", newest).where("x < _newest").drop("_newest")
@@ -128,11 +139,15 @@ def kpi_sparkline(
 
 
 def kpi_summary(
-    df: DataFrame, measures: list[str], date_col: str | None = None, limit: int | None = None
+    df: DataFrame,
+    measures: list[str],
+    date_col: str | None = None,
+    limit: int | None = None,
+    monthly: DataFrame | None = None,
 ) -> DataFrame:
     """One row per measure: value, avg, count, change_pct, trend, sparkline."""
     measures = measures[:limit]
-    totals = kpi_totals(df, measures, limit)
+    totals = kpi_totals(df, measures, limit, monthly)
     if date_col is None:
         return totals.select(
             "*",
@@ -140,7 +155,7 @@ def kpi_summary(
             F.lit("stable").alias("trend"),
             F.array().cast("array<struct<x:date,y:double>>").alias("sparkline"),
         )
-    recent = _latest(kpi_series(df, measures, date_col, limit), V.SPARKLINE_PERIODS)
+    recent = _latest(kpi_series(df, measures, date_col, limit, monthly), V.SPARKLINE_PERIODS)
     lines = recent.groupBy("ordinal").agg(
         F.array_sort(F.collect_list(F.struct("x", "y"))).alias("sparkline")
     )

@@ -13,6 +13,7 @@ from ..operators import distribution, filters, forecast, kpi, quality, ranking,
 from ..operators.aggregate import drill_geo, drill_time
 from ..operators.cleaning import clean
 from ..operators.contribution import pareto
+from ..operators.cube import Cube, moment_cube
 from ..operators.profile import (
     Roles,
     add_date_features,
@@ -22,6 +23,7 @@ from ..operators.profile import (
     roles_of,
     table_summaries,
 )
+from ..session import cut_lineage
 from ..sources.sinks import block_sizes
 from . import findings
 
@@ -76,28 +78,43 @@ def overview(
     """The blocks of the executive overview, each one a DataFrame.
 
     A block is there only if the columns it needs are; ``only`` names the ones
-    to build.  The group totals are stored once and shared.  Cache ``df`` when
-    more than a few blocks will be read.
+    to build.  KPIs, trend, ranking, Pareto, slicers, drill-downs and the findings that rest on
+    them come from one stored cube (``operators.cube``), the pairs from one stored matrix; each
+    takes one scan.  Histogram, anomalies and quality read the rows themselves.
     """
     measures, measure = list(roles.measures), roles.measure
     dimension, date = roles.dimension, roles.date
     keys = [row_key] if isinstance(row_key, str) else list(row_key)
     makers: dict[str, Callable[[], DataFrame]] = {}
 
+    slicers, geo = list(roles.dimensions)[: V.SLICER_COLUMNS], list(roles.geo[: V.GEO_LEVELS])
+
+    @cache
+    def cube() -> Cube:
+        return moment_cube(df, measures, dimension, date, slicers, geo if len(geo) >= 2 else ())
+
+    @cache
+    def upper() -> DataFrame | None:
+        return cut_lineage(distribution.correlations(df, measures)) if len(measures) >= 2 else None
+
     @cache
     def ranked() -> DataFrame | None:
-        return pareto(df, dimension, measure) if measure and dimension else None
+        return pareto(cube().rows(measure, dimension), dimension, measure) if measure and dimension else None
+
+    @cache
+    def monthly() -> DataFrame | None:
+        return cube().monthly() if measures else None
 
     if measures:
-        makers["kpis"] = lambda: kpi.kpi_summary(df, measures, date, V.KPI_MEASURES)
+        makers["kpis"] = lambda: kpi.kpi_summary(df, measures, date, V.KPI_MEASURES, monthly())
     if measure and date:
-        makers["trend"] = lambda: series.trend(df, date, measure)
+        makers["trend"] = lambda: series.trend(cube().rows(measure, date), date, measure)
     if measure and dimension:
-        makers["top"] = lambda: ranking.top_n(df, dimension, measure)
+        makers["top"] = lambda: ranking.top_n(cube().rows(measure, dimension), dimension, measure)
         makers["pareto"] = lambda: ranked().orderBy("position").limit(V.PARETO_ROWS)
     if len(measures) >= 2:
-        makers["correlation"] = lambda: distribution.correlation_matrix(df, measures)
-        makers["strong_pairs"] = lambda: distribution.strong_pairs(df, measures)
+        makers["correlation"] = lambda: distribution.correlation_matrix(df, measures, upper())
+        makers["strong_pairs"] = lambda: distribution.strong_pairs(df, measures, upper=upper())
     if measure:
         makers["histogram"] = lambda: distribution.histogram(df, measure)
         makers["anomalies"] = lambda: (
@@ -107,20 +124,18 @@ def overview(
     makers["missing"] = lambda: quality.missing_ranking(df)
     makers["quality"] = lambda: quality.quality_score(df)
     if roles.dimensions:
-        makers["slicers"] = lambda: filters.slicer_values(
-            df, list(roles.dimensions), V.SLICER_COLUMNS
-        )
+        makers["slicers"] = lambda: filters.most_frequent(cube().values(slicers))
     if date:
-        makers["slicer_dates"] = lambda: filters.slicer_dates(df, date)
+        makers["slicer_dates"] = lambda: filters.slicer_dates(cube().days(), date)
     if date and measure:
-        makers["drill_time"] = lambda: drill_time(df, date, measure)
-    if measure and len(roles.geo) >= 2:
-        makers["drill_geo"] = lambda: drill_geo(df, list(roles.geo[: V.GEO_LEVELS]), measure)
+        makers["drill_time"] = lambda: drill_time(cube().rows(measure, date, "_rows"), date, measure, "_rows")
+    if measure and len(geo) >= 2:
+        makers["drill_geo"] = lambda: drill_geo(cube().places(geo, measure, "_rows"), geo, measure, rows="_rows")
     makers["insights"] = lambda: findings.insights(
-        df, measures, measure, dimension, date, ranked=ranked()
+        df, measures, measure, dimension, date, ranked=ranked(), monthly=monthly(), upper=upper()
     )
     makers["recommendations"] = lambda: findings.recommendations(
-        df, measures, measure, dimension, date, domain, ranked=ranked()
+        df, measures, measure, dimension, date, domain, ranked=ranked(), monthly=monthly()
     )
     return {name: make() for name, make in makers.items() if only is None or name in only}
 
