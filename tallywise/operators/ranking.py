@@ -7,11 +7,16 @@ from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
 from ..functions.coerce import is_numeric, name_of, number
+from ..functions.sums import steady_sum
 from .prefix import running_total
 
 
 def group_totals(df: DataFrame, dimension: str, measure: str) -> DataFrame:
-    """Sum per group; rows without a group or a value are dropped."""
+    """Sum per group; rows without a group or a value are dropped.
+
+    Groups of equal total are ties in every ranking, so a total must not depend on how the
+    rows were split over tasks.
+    """
     key = name_of(dimension)
     if is_numeric(df.schema[dimension].dataType):
         key = F.when(~F.isnan(key.cast("double")), key)
@@ -20,7 +25,7 @@ def group_totals(df: DataFrame, dimension: str, measure: str) -> DataFrame:
         df.select(key.alias(dimension), number(df, measure).alias(value))
         .na.drop()
         .groupBy(name_of(dimension))
-        .agg(F.sum(name_of(value)).alias(value))
+        .agg(steady_sum(name_of(value)).alias(value))
     )
 
 

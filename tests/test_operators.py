@@ -201,6 +201,23 @@ def test_share_needs_three_rows(spark):
     assert values(ranking.top3_share(df, "k", "v"), "leader", "top3_share") == [("b", None)]
 
 
+def test_groups_of_equal_total_are_ties_in_whatever_order_they_are_added(spark):
+    # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ as doubles; the larger one is the later key.
+    rows = [(k, v) for k in range(6) for v in ([0.1, 0.2, 0.3] if k % 2 else [0.3, 0.2, 0.1])]
+    df = spark.createDataFrame(rows, "k int, v double").coalesce(1)
+    assert values(contribution.pareto(df, "k", "v").orderBy("position"), "k") == [(k,) for k in range(6)]
+    assert values(ranking.top_n(df, "k", "v", 6), "k", "v") == [(k, 0.6) for k in range(6)]
+    assert values(ranking.nth_ranked(df, "k", "v", 1), "k") == [(0,)]
+
+
+def test_sums_out_of_the_range_of_decimals_are_plain(spark):
+    rows = [("a", 1e30), ("a", 3e30), ("b", 1e-30), ("b", 3e-30), ("c", float("inf")), ("c", 1.0), ("d", 0.0), ("e", 9e19), ("e", 9e19)]
+    rows += [("f", 1 / 3), ("f", 1e-19), ("g", 0.1), ("g", 1e25)]
+    df = spark.createDataFrame(rows, "k string, v double")
+    found = dict(values(ranking.group_totals(df, "k", "v"), "k", "v"))
+    assert found == {"a": 4e30, "b": 4e-30, "c": float("inf"), "d": 0.0, "e": 1.8e20, "f": 1 / 3, "g": 1e25}
+
+
 def test_pareto_without_positive_total_is_empty(spark):
     df = spark.createDataFrame([("a", -1.0), ("b", 1.0)], "k string, v double")
     assert contribution.pareto(df, "k", "v").count() == 0
