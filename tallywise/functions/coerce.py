@@ -28,11 +28,12 @@ DATE_SHAPES = (
     (r"^\d{4}-\d{1,2}$", "yyyy-M"),
 )
 # Dates that tell day and month apart by their place only; a column is read in one of the
-# two ways throughout.  They are parsed with slashes, by the length of the year.
-PLACED_SHAPE = r"^\d{1,2}([/.-])\d{1,2}\1(?:\d{4}|\d{2})$"
-PLACED_START = r"^\s*\d{1,2}[/.-]\d{1,2}[/.-]\d{2}"
-MONTH_FIRST = ("M/d/yyyy", "M/d/yy")
-DAY_FIRST = ("d/M/yyyy", "d/M/yy")
+# two ways throughout.
+PLACED_SHAPE = r"^\d{1,2}([/.-])\d{1,2}\1(?:\d{4}|\d{2})\z"
+_MONTH, _DAY = r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])"
+# The shape, and the same day in ISO order.
+MONTH_FIRST = (rf"^{_MONTH}([/.-]){_DAY}\2(\d{{4}}|\d{{2}})\z", "$4-$1-$3")
+DAY_FIRST = (rf"^{_DAY}([/.-]){_MONTH}\2(\d{{4}}|\d{{2}})\z", "$4-$3-$1")
 # The same date forms may be followed by a time of day.
 TIME_SHAPE = r"^(.*\d) (\d{1,2}:\d{2}(?::\d{2}(?:\.\d+)?)?)(?: ?([AaPp])[Mm])?$"
 # ISO with an offset, which is turned to UTC.
@@ -105,32 +106,46 @@ def digits_to_long(text: Column) -> Column:
     return F.when(text.rlike(r"^\d{1,18}$"), text.cast("bigint"))
 
 
+def _timed(trimmed: Column) -> Column:
+    """Whether a time of day stands behind the day; most texts have no colon and skip the pattern."""
+    return trimmed.contains(":") & trimmed.rlike(TIME_SHAPE)
+
+
 def _day_text(trimmed: Column) -> Column:
     """The text of the day, without a time of day behind it."""
-    return F.when(trimmed.rlike(TIME_SHAPE), F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
+    return F.when(_timed(trimmed), F.regexp_extract(trimmed, TIME_SHAPE, 1)).otherwise(trimmed)
 
 
-def _placed_day(text: Column, patterns: tuple[str, str]) -> Column:
-    """The date of a text of the placed shape, null if there is no such day."""
-    slashed = F.translate(text, ".-", "//")
-    long_year, short_year = patterns
-    return F.when(slashed.rlike(r"/\d{4}$"), F.try_to_date(slashed, long_year)).otherwise(
-        F.try_to_date(slashed, short_year)
-    )
+def _placed_day(text: Column, order: tuple[str, str]) -> Column:
+    """The date of a text of the placed shape, null if there is no such day.
 
+    Half of the texts of a column are no dates in one of the two orders; the shape rules out
+    nearly all of those, since a parser reports each by an exception.
+    """
+    shape, iso = order
+    turned = F.regexp_replace(text, shape, iso)
+    short_year = ~F.substring(text, -3, 1).between("0", "9")
+    dated = F.concat(F.when(short_year, "20").otherwise(""), turned)
+    return F.when(text.rlike(shape), dated.try_cast("date"))
 
-def placed_dates(value: Column) -> Column:
-    """Whether a text told apart by place only is a date: a struct (month_first, day_first) of flags."""
 
-    def flags(text: Column) -> Column:
-        placed = text.rlike(PLACED_SHAPE)
-        return F.struct(
-            (placed & _placed_day(text, MONTH_FIRST).isNotNull()).alias("month_first"),
-            (placed & _placed_day(text, DAY_FIRST).isNotNull()).alias("day_first"),
-        )
+def date_readings(value: Column) -> Column:
+    """Whether a text is a date when read in either order: a struct (month_first, day_first) of flags.
 
-    # One look at the beginning spares all other texts.
-    return F.when(value.rlike(PLACED_START), let(_day_text(F.trim(value)), flags))
+    Only dates told apart by place alone are read twice.
+    """
+    trimmed = F.trim(value)
+
+    def both(month_first: Column, day_first: Column) -> Column:
+        return F.struct(month_first.alias("month_first"), day_first.alias("day_first"))
+
+    placed = both(_placed_day(trimmed, MONTH_FIRST).isNotNull(), _placed_day(trimmed, DAY_FIRST).isNotNull())
+    month_first = text_to_timestamp(value).isNotNull()
+    # The time of day may be none.
+    timed = F.when(
+        _day_text(trimmed).rlike(PLACED_SHAPE), both(month_first, text_to_timestamp(value, True).isNotNull())
+    ).otherwise(let(month_first, lambda found: both(found, found)))
+    return F.when(trimmed.rlike(PLACED_SHAPE), placed).otherwise(timed)
 
 
 def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
@@ -139,8 +154,9 @@ def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
     ``day_first`` is how dates like 3/4/2024 are read; ``cleaning.date_orders`` finds it out
     for a whole column.
     """
+    order = DAY_FIRST if day_first else MONTH_FIRST
     trimmed = F.trim(value)
-    timed = trimmed.rlike(TIME_SHAPE)
+    timed = _timed(trimmed)
     day_text = _day_text(trimmed)
     clock = F.regexp_extract(trimmed, TIME_SHAPE, 2)
     half = F.lower(F.regexp_extract(trimmed, TIME_SHAPE, 3))
@@ -148,24 +164,31 @@ def text_to_timestamp(value: Column, day_first: bool = False) -> Column:
     of_day = (hour % 12 + F.when(half == "p", 12).otherwise(0)).cast("string")
     later = F.concat(F.lpad(of_day, 2, "0"), F.regexp_extract(clock, r"^\d+(:.*)$", 1))
     clock = F.when(half == "", clock).when(hour.between(1, 12), later)
-    time_text = F.when(timed, clock).otherwise("00:00:00")
 
     def parsed(text: Column) -> Column:
-        # Dates know no time zone; the time of day is put back by an ISO cast.
-        placed = _placed_day(text["day"], DAY_FIRST if day_first else MONTH_FIRST)
-        day = F.when(text["day"].rlike(PLACED_SHAPE), placed)
+        day = F.when(text["day"].rlike(PLACED_SHAPE), _placed_day(text["day"], order))
+        # All shapes end in a digit.
+        day = day.when(~F.substring(text["day"], -1, 1).between("0", "9"), F.lit(None))
         for shape, pattern in DATE_SHAPES:
             day = day.when(text["day"].rlike(shape), F.try_to_date(text["day"], pattern))
-        return F.concat_ws(" ", day.cast("string"), F.when(day.isNotNull(), text["time"]))
+        return F.struct(day.alias("day"), text["timed"].alias("timed"), text["time"].alias("time"))
+
+    def joined(found: Column) -> Column:
+        # Dates know no time zone; the time of day is put back by an ISO cast.
+        text = F.concat_ws(" ", found["day"].cast("string"), F.when(found["day"].isNotNull(), found["time"]))
+        return F.when(found["timed"], text.try_cast("timestamp_ntz")).otherwise(found["day"].cast("timestamp_ntz"))
 
-    other = let(F.struct(day_text.alias("day"), time_text.alias("time")), parsed)
+    texts = F.struct(day_text.alias("day"), timed.alias("timed"), F.when(timed, clock).alias("time"))
+    other = let(let(texts, parsed), joined)
     # An instant is shown in the session's zone; the text's own offset has been taken off by then.
-    instant = F.when(value.rlike(ZONED_SHAPE), trimmed).try_cast("timestamp").cast("timestamp_ntz")
+    zoned = value.contains(":") & value.rlike(ZONED_SHAPE)
+    instant = F.when(zoned, trimmed).try_cast("timestamp").cast("timestamp_ntz")
     in_utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant)
     return (
         F.when(value.rlike(ISO_SHAPE), trimmed.try_cast("timestamp_ntz"))
-        .when(value.rlike(ZONED_SHAPE), in_utc)
-        .otherwise(other.try_cast("timestamp_ntz"))
+        .when(trimmed.rlike(PLACED_SHAPE), _placed_day(trimmed, order).cast("timestamp_ntz"))
+        .when(zoned, in_utc)
+        .otherwise(other)
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vocabulary as V
-from ..functions.coerce import is_text, name_of, nan_to_null, number, placed_dates, text_to_timestamp
+from ..functions.coerce import date_readings, is_text, name_of, nan_to_null, number, text_to_timestamp
 
 
 def clean_headers(df: DataFrame) -> DataFrame:
@@ -32,28 +32,32 @@ def date_formats(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     the non-null values (null without any).  One aggregation over all columns; only dates
     told apart by place alone are parsed twice.
     """
-    fields = []
-    for i, field in enumerate(df.schema.fields):
-        if not is_text(field.dataType) or columns is not None and field.name not in columns:
-            continue
-        value = name_of(field.name)
-        placed = placed_dates(value)
-        fields.append(
-            F.struct(
-                F.lit(i).alias("ordinal"),
-                F.lit(field.name).alias("column"),
-                F.count(value).alias("non_null"),
-                F.count(text_to_timestamp(value)).alias("month_first"),
-                F.count_if(placed["month_first"] & ~placed["day_first"]).alias("_only_month"),
-                F.count_if(placed["day_first"] & ~placed["month_first"]).alias("_only_day"),
-            )
-        )
-    if not fields:
+    texts = [
+        (i, field.name)
+        for i, field in enumerate(df.schema.fields)
+        if is_text(field.dataType) and (columns is None or field.name in columns)
+    ]
+    if not texts:
         return df.sparkSession.createDataFrame([], DATE_FORMATS)
-    counts = df.agg(F.array(*fields).alias("counts"))
-    found = counts.select(F.inline("counts"))
-    day_first = F.col("month_first") - F.col("_only_month") + F.col("_only_day")
-    return found.withColumn("day_first", day_first).select(
+    # Both flags come from one reading.
+    read = df.select(
+        *[F.when(name_of(c).isNotNull(), date_readings(name_of(c))).alias(f"_{i}") for i, c in texts]
+    )
+    counts = read.agg(
+        F.array(
+            *[
+                F.struct(
+                    F.lit(i).alias("ordinal"),
+                    F.lit(c).alias("column"),
+                    F.count(f"_{i}").alias("non_null"),
+                    F.count_if(F.col(f"_{i}.month_first")).alias("month_first"),
+                    F.count_if(F.col(f"_{i}.day_first")).alias("day_first"),
+                )
+                for i, c in texts
+            ]
+        ).alias("counts")
+    )
+    return counts.select(F.inline("counts")).select(
         "ordinal",
         "column",
         "non_null",

@@ -96,6 +96,23 @@ def test_a_column_is_read_in_one_order(spark, texts, order, days):
         assert [r[column].date() if r[column] else None for r in made] == [d and day(d) for d in days]
 
 
+def test_placed_dates_meet_no_parser(spark):
+    texts = ["13/01/2024", "29.02.2023", "29-2-24", "31/4/2024", "1/2/24", "1/2/2024\n", "00/1/2024"]
+    df = spark.createDataFrame([(t,) for t in texts], "s string")
+    for made in (cleaning.date_formats(df), df.select(text_to_timestamp(F.col("s"), True))):
+        assert not re.search("M/d/yy|d/M/yy", made._jdf.queryExecution().toString())
+    found = cleaning.date_formats(df).first()
+    assert (found["month_first"], found["day_first"]) == (1, 3)
+    days = [r[0].date() if r[0] else None for r in df.select(text_to_timestamp(F.col("s"), True)).collect()]
+    assert days == [day("2024-01-13"), None, day("2024-02-29"), None, day("2024-02-01"), None, None]
+
+
+def test_a_day_with_no_time_of_day_is_no_date_in_either_order(spark):
+    df = spark.createDataFrame([("13/01/2024 25:00",), ("1/13/2024 25:00",), ("13/1/2024 7:00 pm",)], "s string")
+    found = cleaning.date_formats(df).first()
+    assert (found["month_first"], found["day_first"]) == (0, 1)
+
+
 def test_formats_take_one_scan_and_stay_in_the_engine(spark, data):
     orders = spark.read.parquet(f"{data}/orders.parquet")
     plan = cleaning.date_formats(orders)._jdf.queryExecution().toString()
