@@ -9,6 +9,7 @@ encoded once while it stays in a table of fixed size.
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import chain
 
 import numpy as np
 import regex
@@ -151,7 +152,7 @@ class PieceTable:
         total = int(counts.sum())
         self.flat = _room(self.flat, self.used + total)
         offsets = self.used + np.cumsum(counts) - counts
-        self.flat[self.used : self.used + total] = np.fromiter((i for ids in found for i in ids), np.uint32, total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(found), np.uint32, total)
         self.used += total
         return offsets, counts
 

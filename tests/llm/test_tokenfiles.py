@@ -92,3 +92,31 @@ def test_odd_rows_and_part_of_an_index(spark, odd_docs, no_docs, tokenizer):
     one = tokenfiles.read(index.where("doc_id = 7"), folder).collect()
     assert len(one) == 1 and np.frombuffer(one[0].ids, "<u4").tolist() == [*tokenizer.encode("x").ids, 2]
     assert tokenfiles.write(no_docs, tokenfiles.new_folder(spark), PATH).count() == 0
+
+
+def test_words_are_encoded_side_by_side_as_if_alone(tokenizer):
+    rng = np.random.default_rng(3)
+    letters = list("abcdeéßñяж汉ªʰ𝒜ǅ")
+    words = [" " + "".join(rng.choice(letters, rng.integers(1, 12))) for _ in range(1500)]
+    texts = [x for w in words for x in (w, "'s", w[1:], " 12", w + "\u0301", "\u00a0ab", " \u0345a")]
+    handed = []
+
+    def encode(many):
+        handed.extend(many)
+        return [tokenizer.encode(t, add_special_tokens=False).ids for t in many]
+
+    vocabulary = [tokenizer.id_to_token(i) for i in range(tokenizer.get_vocab_size())]
+    sizes = np.array([len(t) for t in vocabulary])
+    alone = encode(texts)
+    handed.clear()
+    assert tokenfiles._encode_words(texts, encode, sizes) == alone
+    assert not set(words) & set(handed)
+    assert tokenfiles._encode_words([], encode, sizes) == []
+    # Sizes that tell no ends: all words go one by one.
+    assert tokenfiles._encode_words(texts, encode, sizes + 1) == alone
+
+
+def test_reader_adds_up_lengths_once():
+    reader = tokenfiles.Reader(Source(written([[k] * (k % 3) for k in range(50)])))
+    assert reader.ends.tolist() == [sum(k % 3 for k in range(n)) for n in range(51)]
+    assert [reader.ids(k).tolist() for k in range(50)] == [[k] * (k % 3) for k in range(50)]
